@@ -37,17 +37,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batches, size_of: str = "text"):
-    """Arrow record batches cut so that each holds about CHUNK_BYTES of the text column, whole rows only."""
+def pieces(batches, size_of: str):
+    """Record batches cut into about CHUNK_BYTES each, whole rows only, by the lengths of a text column."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        col = batch.column(batch.schema.get_field_index(size_of))
         if batch.nbytes <= 2 * CHUNK_BYTES:
             yield batch
             continue
-        ends = np.cumsum(byte_lengths(col))
+        col = batch.column(batch.schema.get_field_index(size_of))
+        if pa.types.is_string(col.type) or pa.types.is_binary(col.type):
+            ends = np.cumsum(byte_lengths(col))
+        else:
+            ends = np.arange(1, n + 1) * (batch.nbytes // n + 1)
         at = 0
         while at < n:
             base = ends[at - 1] if at else 0

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .embeddings import op8_embedding_dedup
 from .licenses import op9_license_scan
 from .mixing import op5_source_mixing
 from .quality import op6_quality_rules
 from .secrets import op2_secret_scan
 from .simhash import op10_simhash
+from .subword import op1_sentencepiece
+from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_source_mixing, op6_quality_rules, op9_license_scan, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_secret_scan, op3_toxicity, op5_source_mixing, op6_quality_rules, op8_embedding_dedup, op9_license_scan, op10_simhash)
+}
 ORACLES: dict[str, str] = {}
