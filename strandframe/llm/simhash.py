@@ -11,10 +11,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bytes_of, components, documents, map_rows, written
+from .hamming import close_pairs
 
 SEED = 42
 
@@ -47,32 +48,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], kernel, "doc_id long, fp long")
 
 
-def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
-    """(lowest bit, width) of each segment."""
-    n = distance // 2 + 1
-    edges = [round(i * bits / n) for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
-
-
-def variants(fp: Column, distance: int) -> Column:
-    """array<long>: per segment and wildcard bit one key, the kept bits with the wildcard's place above them."""
-    keys = []
-    for low, width in segments(distance):
-        part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
-        for bit in range(width):
-            # kept bits use at most 32 places, so the place name starts at 40
-            keys.append(part.bitwiseAND(F.lit(~(1 << bit))).bitwiseOR(F.lit((low + bit) << 40)))
-    return F.array(*keys)
-
-
-def near_pairs(distinct: DataFrame, distance: int) -> DataFrame:
-    """(a, b): distinct fingerprints at most `distance` bits apart, each pair once or more."""
-    index = distinct.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
-    x, y = index.alias("x"), index.alias("y")
-    close = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance)
-    return x.join(y, close).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id): documents linked directly or through others share a component.
 
@@ -82,9 +57,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     """
     fps = written(fingerprints(docs, shingle))
     first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    pairs = near_pairs(first.select("fp"), distance)
+    pairs = close_pairs(first.select("fp"), distance, distance // 2 + 1)
     a, b = first.select(F.col("fp").alias("a"), F.col("first_doc").alias("da")), first.select(F.col("fp").alias("b"), F.col("first_doc").alias("db"))
-    links = pairs.distinct().join(a, "a").join(b, "b").select("da", "db").filter("da is not null and db is not null")
+    links = pairs.join(a, "a").join(b, "b").select("da", "db").filter("da is not null and db is not null")
     found = components(links, "da", "db")
     classes = first.join(found, F.col("first_doc") == F.col("id"), "left").select("fp", F.coalesce("component", "first_doc").alias("component_id"))
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
