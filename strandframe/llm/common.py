@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship_package
+
 #: Bytes of text handed to a kernel at once; keeps a Python worker's memory flat when texts are long.
 CHUNK_BYTES = 8 << 20
 
@@ -70,6 +72,7 @@ def map_rows(df: DataFrame, columns: list[str], kernel, schema: str) -> DataFram
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship_package(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
     size_of = columns[-1]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embeddings import op8_embedding_dedup
 from .licenses import op9_license_scan
+from .lines import op7_line_dedup
 from .mixing import op5_source_mixing
 from .quality import op6_quality_rules
 from .secrets import op2_secret_scan
@@ -13,6 +14,6 @@ from .toxicity import op3_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_secret_scan, op3_toxicity, op5_source_mixing, op6_quality_rules, op8_embedding_dedup, op9_license_scan, op10_simhash)
+    for f in (op1_sentencepiece, op2_secret_scan, op3_toxicity, op5_source_mixing, op6_quality_rules, op7_line_dedup, op8_embedding_dedup, op9_license_scan, op10_simhash)
 }
 ORACLES: dict[str, str] = {}
