@@ -9,11 +9,12 @@ from .mixing import op5_source_mixing
 from .quality import op6_quality_rules
 from .secrets import op2_secret_scan
 from .simhash import op10_simhash
+from .substrings import op4_substring_dedup
 from .subword import op1_sentencepiece
 from .toxicity import op3_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_secret_scan, op3_toxicity, op5_source_mixing, op6_quality_rules, op7_line_dedup, op8_embedding_dedup, op9_license_scan, op10_simhash)
+    for f in (op1_sentencepiece, op2_secret_scan, op3_toxicity, op4_substring_dedup, op5_source_mixing, op6_quality_rules, op7_line_dedup, op8_embedding_dedup, op9_license_scan, op10_simhash)
 }
 ORACLES: dict[str, str] = {}
