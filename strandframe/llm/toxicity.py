@@ -44,7 +44,8 @@ def tokens(text: str) -> list[str]:
 def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, dict[int, int]]:
     """(toxic, calibrating, text) of a bounded sample without the held-out fold, and all its rows by class.
 
-    The sample is the first `rows` of each class and part in the order of a hash of doc_id.  Texts that
+    The sample is the first `rows` of each class and part in the order of a hash of doc_id; its ids, at
+    most 4 * rows, are broadcast, so texts outside it never move.  Texts that
     stand twice in it count once.  Labels that are null or disagree about a document are left out.
     """
     agreed = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("high")).filter("toxic = high").select("doc_id", "toxic")
@@ -55,7 +56,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame,
         for c in (0, 1) for k in (False, True)
     ]
     chosen = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "calibrating", "text").filter("text is not null")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "calibrating", "text").filter("text is not null")
     return sample.dropDuplicates(["text", "toxic"]), sizes
 
 
