@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, components, documents, map_rows, written
@@ -66,10 +66,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id; exact repeats of a row keep one."""
+    """docs without the documents whose component has a smaller doc_id.
+
+    Rows that share a doc_id are one document and one of them stays; rows without a doc_id all stay.
+    """
     groups = near_duplicates(docs, shingle, distance)
-    kept = groups.filter("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = groups.filter("doc_id = component_id").select("doc_id").distinct().withColumn("stays", F.lit(True))
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    ranked = docs.join(kept, "doc_id", "left").filter("stays or doc_id is null").withColumn("nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(one)))
+    return ranked.filter("nth = 1").select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, texts_of, written
+from ..plans.shipping import ship_package
+from .common import documents, map_rows, pieces, texts_of, written
 
 TOKEN = re.compile(r"\w+")
 DISCOUNT = 0.75
@@ -233,5 +234,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def keep_ordinary(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """docs without the rows predicted toxic, all columns as they are; rows are judged where they stand."""
+    ship_package(docs.sparkSession)
+    model, curve = fit(docs, labels, rows)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast((model, curve))
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        model, curve = shared.value
+        for batch in pieces(batches, "text"):
+            texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(curve[0] + model.evidence(texts) @ curve[1:] < 0))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
