@@ -17,9 +17,11 @@ from __future__ import annotations
 import gc
 import hashlib
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ MINIMISER = 20
 #: A segment's most windows: their flags fit one 32-bit mask.
 MOST_WINDOWS = 32
 #: Bytes of text that one group of documents, and of segments that one reducer, holds, about.
-GROUP_BYTES = 16 << 20
-BUCKET_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 #: Bytes of one shard's text.
 SHARD_BYTES = 1 << 19
 #: Keys with more documents than this are dealt by whole windows instead: a passage that many documents
@@ -47,19 +49,23 @@ _VALUES = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64) * n
 class Segments:
     """The segments of some texts: owner (text), start, windows, key, and a hash of the bytes."""
 
+    def load(self, data: np.ndarray) -> None:
+        self.data = data
+        up, self.down = Powers.of(len(data) + 1)
+        with np.errstate(over="ignore"):
+            self.prefix = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_VALUES[data] * up[: len(data)], out=self.prefix[1:])
+
     def __init__(self, texts: list[bytes]):
-        self.data = data = np.frombuffer(b"".join(texts), np.uint8)
-        n = len(data)
+        self.load(np.frombuffer(b"".join(texts), np.uint8))
+        n = len(self.data)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.text_starts = np.cumsum(sizes) - sizes
-        up, self.down = Powers.of(n + 1)
+        if n < LENGTH:
+            z = np.zeros(0, np.int64)
+            self.owner, self.start, self.windows, self.key = z, z, z, np.zeros(0, np.uint64)
+            return
         with np.errstate(over="ignore"):
-            self.prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(_VALUES[data] * up[:n], out=self.prefix[1:])
-            if n < LENGTH:
-                z = np.zeros(0, np.int64)
-                self.owner, self.start, self.windows, self.key = z, z, z, np.zeros(0, np.uint64)
-                return
             m = mix((self.prefix[MINIMISER:] - self.prefix[:-MINIMISER]) * self.down[: n - MINIMISER + 1])
         w, most = 1, LENGTH - MINIMISER + 1
         while 2 * w <= most:
@@ -111,6 +117,30 @@ class Segments:
         return self._hash(self.start, self.windows)
 
 
+def _different(key: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each different (key, content) the row of the smallest doc."""
+    order = np.lexsort((doc, content, key))
+    k, c = key[order], content[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    return order[new]
+
+
+def _contents(body: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Segments.content() of segments that stand one after another in body, a cache's worth at a time."""
+    ends = np.cumsum(length)
+    out = np.zeros(len(length), np.uint64)
+    at = 0
+    while at < len(length):
+        base = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + _SLICE, side="right")))
+        x = Segments.__new__(Segments)
+        x.load(body[base : int(ends[to - 1])])
+        out[at:to] = x._hash(ends[at:to] - length[at:to] - base, length[at:to] - LENGTH + 1)
+        at = to
+    return out
+
+
 def _member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(x), bool)
@@ -235,7 +265,8 @@ def smallest_documents(contents: list[np.ndarray], docs: np.ndarray, windows: np
 
 _ASK = np.dtype([("key", "<u8"), ("doc", "<i8")])
 _TOLD = np.dtype([("doc", "<i8"), ("key", "<u8")])
-_SEG = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("windows", "<i4"), ("group", "<i4")])
+#: What travels with a segment's bytes.  Half a key will do: keys that fall together are judged together.
+_SEG = np.dtype([("key", "<u4"), ("doc", "<i8"), ("windows", "u1"), ("group", "<u4")])
 _FLAG = np.dtype([("content", "<u8"), ("mask", "<u4")])
 
 
@@ -363,32 +394,27 @@ def dealt_segments(grouped, told, buckets: int, hot) -> DataFrame:
             texts = [t or b"" for t in left.column("text").cast(pa.binary()).to_pylist()]
             seen: list[np.ndarray] = []
             for a, x in _told_segments(texts, ids, _told_of(right), hot.value):
-                h = np.zeros(len(x.key), _SEG)
-                h["key"], h["content"], h["windows"] = x.key, x.content(), x.windows
-                h["doc"], h["group"] = ids[a:][x.owner], left.column("part")[0].as_py()
-                order = np.lexsort((h["doc"], h["content"], h["key"]))
-                h, s = h[order], x.start[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h["key"][1:] != h["key"][:-1]) | (h["content"][1:] != h["content"][:-1])
-                h, s = h[new], s[new]
-                heads.append(h)
-                bodies.append(_ranges(x.data, s, h["windows"] + LENGTH - 1))
+                content, doc = x.content(), ids[a:][x.owner]
+                order = _different(x.key, content, doc)
+                heads.append((x.key[order], content[order], doc[order], x.windows[order]))
+                bodies.append(_ranges(x.data, x.start[order], x.windows[order] + LENGTH - 1))
         out: tuple[list, list, list] = ([], [], [])
-        if heads and sum(map(len, heads)):
-            h, body = np.concatenate(heads), np.concatenate(bodies)
-            length = h["windows"].astype(np.int64) + LENGTH - 1
+        if heads and sum(len(h[0]) for h in heads):
+            key, content, doc, windows = (np.concatenate(c) for c in zip(*heads))
+            body = np.concatenate(bodies)
+            length = windows + LENGTH - 1
             start = np.cumsum(length) - length
-            order = np.lexsort((h["doc"], h["content"], h["key"]))
-            new = np.ones(len(h), bool)
-            k = h[order]
-            new[1:] = (k["key"][1:] != k["key"][:-1]) | (k["content"][1:] != k["content"][:-1])
-            order = order[new]
-            bucket = (mix(h["key"][order]) % np.uint64(buckets)).astype(np.int64)
+            order = _different(key, content, doc)
+            bucket = (mix(key[order]) % np.uint64(buckets)).astype(np.int64)
             order = order[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
+            h = np.zeros(len(order), _SEG)
+            h["key"], h["doc"], h["windows"] = (key[order] >> np.uint64(32)).astype(np.uint32), doc[order], windows[order]
+            h["group"] = left.column("part")[0].as_py()
+            squeeze = zstandard.ZstdCompressor(level=1)
             for rows in np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket)) + 1):
                 own = order[rows]
-                out[0].append(int(bucket[rows[0]])), out[1].append(h[own].tobytes()), out[2].append(_ranges(body, start[own], length[own]).tobytes())
+                out[0].append(int(bucket[rows[0]])), out[1].append(h[rows].tobytes()), out[2].append(squeeze.compress(_ranges(body, start[own], length[own]).tobytes()))
         return pa.Table.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["bucket", "heads", "bytes"])
 
     return grouped.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(deal, "bucket int, heads binary, bytes binary")
@@ -400,13 +426,15 @@ def judged_segments(dealt: DataFrame) -> DataFrame:
 
     def judge(table: pa.Table) -> pa.Table:
         h = np.frombuffer(b"".join(table.column("heads").to_pylist()), _SEG)
-        body = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+        whole = zstandard.ZstdDecompressor()
+        body = np.frombuffer(b"".join(map(whole.decompress, table.column("bytes").to_pylist())), np.uint8)
         length = h["windows"].astype(np.int64) + LENGTH - 1
         start = np.cumsum(length) - length
-        order = np.lexsort((h["doc"], h["content"], h["key"]))
-        k = h[order]
+        content = _contents(body, length)
+        order = np.lexsort((h["doc"], content, h["key"]))
+        k, c = h["key"][order], content[order]
         new = np.ones(len(h), bool)
-        new[1:] = (k["key"][1:] != k["key"][:-1]) | (k["content"][1:] != k["content"][:-1])
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
         at = np.flatnonzero(new)
         content_of = np.empty(len(h), np.int64)
         content_of[order] = np.cumsum(new) - 1
@@ -431,7 +459,7 @@ def judged_segments(dealt: DataFrame) -> DataFrame:
         mask = np.bitwise_or.reduceat(value, np.cumsum(n) - n) if len(n) else np.zeros(0, np.uint32)
         some = mask != 0
         out = np.zeros(int(some.sum()), _FLAG)
-        out["content"], out["mask"] = h["content"][some], mask[some]
+        out["content"], out["mask"] = content[some], mask[some]
         parts, rows = _grouped(h["group"][some].astype(np.int64), out)
         return pa.Table.from_arrays([pa.array(parts, pa.int32()), pa.array(rows, pa.binary())], names=["part", "flags"])
 
@@ -439,9 +467,13 @@ def judged_segments(dealt: DataFrame) -> DataFrame:
 
 
 def _collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of phases that are over; only a hint."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of phases that are over; only a hint, nothing waits for it.
+
+    Plans die with the first collection, what they alone held with the second."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def dedup_substrings(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
