@@ -297,15 +297,13 @@ def matched_classes(docs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
 
     whole = written(map_rows(lists, ["later", "first_key", "keys"], unpack, "later long, first_key long, rest array<long>"))
     place = classes.select("set_key", "doc", "line")
-    ends = whole.select(F.col("later").alias("set_key")).unionAll(whole.select("first_key")).distinct()
-    sets = written(class_words(docs, place.join(ends, "set_key")))
+    ends = whole.select(F.explode(F.concat(F.array("later", "first_key"), "rest")).alias("set_key")).distinct()
+    sets = written(class_words(docs, place.join(ends, "set_key")))  # all that may be compared, in one pass over the texts
     first = written(_verified(whole.select("later", F.col("first_key").alias("earlier")), sets, t))
     open_pairs = written(whole.join(first, "later", "left_anti").select("later", spread(F.col("rest")).alias("earlier")))
     if open_pairs.isEmpty():
         return first
-    more = open_pairs.select(F.col("earlier").alias("set_key")).distinct().join(sets.select("set_key"), "set_key", "left_anti")
-    all_sets = sets.unionAll(class_words(docs, place.join(more, "set_key")))
-    return first.unionAll(written(_verified(open_pairs, all_sets, t)))
+    return first.unionAll(written(_verified(open_pairs, sets, t)))
 
 
 def kept_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
