@@ -358,12 +358,12 @@ def longest_isoform_audit(spark, d):
     return tables.longest_isoforms(x.select(F.col("doc_id").alias("protein_id"), F.col("n_chars").alias("length")), genes)
 
 
-@query("""with c as (select l_partkey as protein_id, l_orderkey as parent from lineitem), t as (select o_orderkey as parent, o_custkey as gene from orders where o_orderkey % 3 <> 0),
+@query("""with c as (select l_orderkey as protein_id, case when l_linenumber = 5 then l_partkey else l_orderkey end as parent from lineitem), t as (select o_orderkey as parent, o_custkey as gene from orders where o_orderkey % 3 <> 0),
   x as (select protein_id, coalesce(gene, c.parent) as gene_id from c left join t on t.parent = c.parent)
 select protein_id, min(gene_id) as gene_id from x group by 1 having min(gene_id) = max(gene_id)""")
 def gene_resolution(spark, d):
     none = F.lit(None).cast("long")
-    cds = table(spark, d, "lineitem").select(F.lit("CDS").alias("type"), none.alias("id"), F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("protein_id"))
+    cds = table(spark, d, "lineitem").select(F.lit("CDS").alias("type"), none.alias("id"), F.when(F.col("l_linenumber") == 5, F.col("l_partkey")).otherwise(F.col("l_orderkey")).alias("parent"), F.col("l_orderkey").alias("protein_id"))
     mrna = table(spark, d, "orders").filter("o_orderkey % 3 <> 0").select(F.lit("mRNA").alias("type"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent"), none.alias("protein_id"))
     return tables.resolve_genes(cds.unionByName(mrna))
 
