@@ -116,9 +116,10 @@ def gtf_attribute_map(text) -> Column:
 
 
 def _features(spark: SparkSession, path, attributes, least: int, strict: bool) -> DataFrame:
-    x = _lines(spark, path, numbered=True).filter(~F.col("line").startswith("#") & (F.trim("line") != "") & ~F.col("line").startswith(" "))
+    skipped = F.col("line").startswith("#") | (F.trim("line") == "") | F.col("line").startswith(" ")
+    x = _lines(spark, path, numbered=True).filter(~skipped)
     f = F.split("line", "\t")
-    x = x.withColumn("f", F.when(F.size(f) >= least, f).otherwise(F.raise_error(F.concat(F.lit("too few fields: "), F.col("line")))) if strict else f)
+    x = x.withColumn("f", F.when(skipped | (F.size(f) >= least), f).otherwise(F.raise_error(F.concat(F.lit("too few fields: "), F.col("line")))) if strict else f)
     x = x if strict else x.filter(F.size("f") >= least)
     part = lambda i: F.get("f", i)
     return x.select(
@@ -377,7 +378,7 @@ def read_newick(spark: SparkSession, path) -> DataFrame:
     """Tree rows; files of several trees number them after the file's name."""
     from ..operators.tree import parse_newick
 
-    x = spark.read.text(path, wholetext=True).select(_file().alias("file"), F.posexplode(F.split("value", ";")).alias("k", "t")).filter("trim(t) <> ''")
+    x = spark.read.text(path, wholetext=True).select(_file().alias("file"), F.posexplode(F.split("value", ";")).alias("k", "t")).filter(F.col("t").rlike(r"\S"))
     n = F.count("*").over(Window.partitionBy("file"))
     return parse_newick(x.select(F.when(n > 1, F.concat_ws("#", "file", F.col("k").cast("string"))).otherwise(F.col("file")).alias("tree_id"), F.concat(F.trim(F.regexp_replace("t", r"[\r\n]+", "")), F.lit(";")).alias("newick")))
 
