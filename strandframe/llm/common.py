@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -13,7 +15,24 @@ from pyspark.sql import functions as F
 from ..plans.shipping import ship_package
 
 #: Bytes of text handed to a kernel at once; keeps a Python worker's memory flat when texts are long.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+
+
+#: Arrow batches between Spark and Python, unless the session sets another size.
+ARROW_BATCH = "8m"
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Small Arrow batches: both ends hold a few of them at a time, and texts can be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).lower() in ("67108864b", "64m", "67108864"):  # the default
+        spark.conf.set(name, ARROW_BATCH)
+
+
+def give_back() -> None:
+    """In a Python worker: Arrow's buffers from the system's allocator, which returns what is freed."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +58,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of phases that are over; only a hint, nothing waits for it.
+
+    Plans die with the first collection, what they alone held with the second."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def pieces(batches, size_of: str):
     """Record batches cut into about CHUNK_BYTES each, whole rows only, by the lengths of a text column."""
     for batch in batches:
@@ -73,10 +102,12 @@ def map_rows(df: DataFrame, columns: list[str], kernel, schema: str) -> DataFram
     from pyspark.sql.types import _parse_datatype_string
 
     ship_package(df.sparkSession)
+    lean_batches(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
     size_of = columns[-1]
 
     def run(batches):
+        give_back()
         for batch in pieces(batches, size_of):
             out = kernel(batch)
             arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for f in target for v in [out[f.name]]]

@@ -154,17 +154,18 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
 
     Only documents at an end of their shard's run have a partial row.  Texts without words are dropped.
     """
-    took = mix(docs, seed).select(F.col("doc_id").alias("id"), "text_hash", F.col("size").alias("words"), "taken", "extra_from").filter("taken > 0").distinct()
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    x = keyed.join(took, keyed["doc_id"].eqNullSafe(F.col("id")) & (keyed["text_hash"] == took["text_hash"])).drop(took["text_hash"])
-    passes = F.floor(F.col("taken") / F.col("words")).cast("int")
-    rest = (F.col("taken") - passes * F.col("words")).cast("int")
-    pieces = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    start = F.least(F.col("extra_from"), F.col("words") - rest).cast("int")
+    took = mix(docs, seed).filter("taken > 0").select(F.col("doc_id").alias("_took_id"), F.col("text_hash").alias("_took_hash"), F.col("size").alias("_words"), F.col("taken").alias("_taken"), F.col("extra_from").alias("_from")).distinct()
+    x = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_hash"))
+    x = x.join(took, F.col("_id").eqNullSafe(F.col("_took_id")) & (F.col("_hash") == F.col("_took_hash")))
+    passes = F.floor(F.col("_taken") / F.col("_words")).cast("int")
+    rest = (F.col("_taken") - passes * F.col("_words")).cast("int")
+    pieces = F.split(F.regexp_replace("_text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    start = F.least(F.col("_from"), F.col("_words") - rest).cast("int")
     part = F.when(rest > 0, F.array_join(F.slice(pieces, start + 1, F.greatest(rest, F.lit(1))), ""))
-    copies = F.concat(F.array_repeat(F.col("text"), passes), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = x.withColumn("text", F.explode(copies))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    copies = F.concat(F.array_repeat(F.col("_text"), passes), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    x = x.withColumn("_new", F.explode(copies))
+    new = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
+    return x.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,10 +71,10 @@ def keep_first(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFram
     Rows that share a doc_id are one document and one of them stays; rows without a doc_id all stay.
     """
     groups = near_duplicates(docs, shingle, distance)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct().withColumn("stays", F.lit(True))
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    ranked = docs.join(kept, "doc_id", "left").filter("stays or doc_id is null").withColumn("nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(one)))
-    return ranked.filter("nth = 1").select(*docs.columns)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct().withColumn("_stays", F.lit(True))
+    x = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id")).join(kept, "_id", "left").filter("_stays or _id is null")
+    one = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_row.text")))
+    return x.withColumn("_nth", F.when(F.col("_id").isNull(), 1).otherwise(one)).filter("_nth = 1").select("_row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
