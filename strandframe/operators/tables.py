@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
 from ..plans.session import require_columns, require_matches, require_unique
 
 
@@ -271,9 +272,8 @@ def mate_files(files: DataFrame, patterns: list[str]) -> DataFrame:
 
 
 def fixed_chunks(df: DataFrame, size: int, order: list) -> DataFrame:
-    """chunk from 0 in groups of `size` rows of one order; the rows' numbers come from one ranking."""
-    nth = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("chunk", F.floor((nth - 1) / size).cast("int"))
+    """chunk from 0 in groups of `size` rows of one total order."""
+    return numbered(df, order, "_nth").withColumn("chunk", F.floor((F.col("_nth") - 1) / size).cast("int")).drop("_nth")
 
 
 def cluster_table(members: DataFrame) -> DataFrame:

@@ -422,3 +422,8 @@ def complete_runs(files: DataFrame, summary: str = "short_summary") -> DataFrame
     """(assembly) of run folders that hold a summary JSON."""
     f = files.filter(F.col("name").contains(summary) & F.col("name").endswith(".json"))
     return f.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("assembly")).distinct()
+
+
+def reads_alignment(reads: DataFrame, start: int = 0, end: int = 15) -> DataFrame:
+    """Columns start to end (excluded) of reads as one alignment, for frequency and logo matrices."""
+    return reads.select(F.lit("reads").alias("aln_id"), F.col("read_id").alias("seq_id"), F.expr(f"substring(seq, {start + 1}, {end - start})").alias("seq"))

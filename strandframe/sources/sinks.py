@@ -150,3 +150,39 @@ def lineage_styles(groups: dict[str, list[str]], colours: list[str] | None = Non
     colours = colours or PALETTE
     rows = [f"{n},{t},node,{colours[i % len(colours)]},{width if t == 'branch' else 1},{line if t == 'branch' else 'bold'}" for i, (_, nodes) in enumerate(groups.items()) for n in nodes for t in ("branch", "label")]
     return "\n".join(["DATASET_STYLE", "SEPARATOR COMMA", "DATASET_LABEL,lineages", "COLOR,#000000", "DATA", *rows]) + "\n"
+
+
+# ---- files on the driver ------------------------------------------------------------------------------------
+
+
+def copy_per_accession(source: str, folder: str, suffix: str = ".faa", move: bool = False) -> list[str]:
+    """Each accession folder's file with a suffix, named after the folder; two are an error.  Folders without one."""
+    import shutil
+
+    missing = []
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for d in sorted(p for p in Path(source).iterdir() if p.is_dir()):
+        found = sorted(d.glob(f"*{suffix}"))
+        if len(found) > 1:
+            raise ValueError(f"{d.name} has {len(found)} *{suffix} files")
+        if not found:
+            missing.append(d.name)
+        else:
+            (shutil.move if move else shutil.copy)(str(found[0]), str(Path(folder, d.name + suffix)))
+    return missing
+
+
+def concatenate_files(folder: str, output: str, suffix: str) -> int:
+    """All files with a suffix in the order of their names, into one.  How many."""
+    files = sorted(Path(folder).glob(f"*{suffix}"))
+    with open(output, "wb") as out:
+        for f in files:
+            data = f.read_bytes()
+            out.write(data if data.endswith(b"\n") or not data else data + b"\n")
+    return len(files)
+
+
+def unpack(archive: str, folder: str) -> None:
+    import shutil
+
+    shutil.unpack_archive(archive, folder)

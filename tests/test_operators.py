@@ -273,3 +273,24 @@ def test_stream(spark, sf, tmp_path):
     events.run_to_table(got, str(tmp_path / "out"), str(tmp_path / "ck"))
     out = spark.read.parquet(str(tmp_path / "out"))
     assert 0 < out.count() <= events.tumbling(src, "1 day").count()
+
+
+def test_pipelines_and_files(tmp_path, spark):
+    from strandframe.plans import numbering, pipelines
+    from strandframe.sources import readers, sinks
+
+    steps = pipelines.reciprocal_search({"b": "b.faa", "a": "a.faa"}, "q.faa", "r.faa", str(tmp_path))
+    assert [s[0] for s in steps] == ["makeblastdb"] * 3 + ["blastp"] * 4
+    assert len(pipelines.marker_gene_tree({"a": "a.faa"}, ["m1", "m2"], str(tmp_path / "new"), "db.hmm")) == 5
+    with pytest.raises(FileExistsError):
+        pipelines.marker_gene_tree({}, [], str(tmp_path), "db.hmm")
+    assert len(pipelines.status_runs({"a": "a.faa"}, str(tmp_path), "l")) == 1 and len(pipelines.gene_trees({"l": "l.fa"}, str(tmp_path))) == 1
+    for a in ("x", "y"):
+        (tmp_path / "in" / a).mkdir(parents=True)
+    (tmp_path / "in" / "x" / "p.faa").write_text(">a\nA")
+    assert sinks.copy_per_accession(str(tmp_path / "in"), str(tmp_path / "out")) == ["y"] and (tmp_path / "out" / "x.faa").exists()
+    assert sinks.concatenate_files(str(tmp_path / "out"), str(tmp_path / "all.faa"), ".faa") == 1
+    n = numbering.numbered(spark.range(1000).withColumn("k", (F.col("id") * 7919) % 1009), [F.col("k"), F.col("id")]).collect()
+    assert [r.nth for r in sorted(n, key=lambda r: (r.k, r.id))] == list(range(1, 1001))
+    r = spark.createDataFrame([("@a", "ACGT")], "read_id string, seq string")
+    assert readers.reads_alignment(r, 1, 3).first().seq == "CG"
