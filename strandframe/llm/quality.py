@@ -1,13 +1,15 @@
 """Quality rules by weak supervision.
 
 Rules vote good (1), bad (0) or abstain (null).  Expectation-maximisation over the histogram of vote
-patterns estimates each rule's accuracies for both classes; the posterior that a text is good decides.
-The histogram has at most 3**len(RULES) rows whatever the corpus's size, so EM runs on the driver.
+patterns estimates how often each rule votes which way on good texts and on each kind of bad ones; the posterior
+that a text is good decides.  One bad vote of a rule that also errs on good texts is outweighed by the others.
+The histogram has at most 3**len(rules()) rows whatever the corpus's size, so EM runs on the driver.
 """
 
 from __future__ import annotations
 
 import math
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,11 @@ from .common import bytes_of, documents, map_rows, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_ends long, n_alpha_words long, n_distinct long"
+FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_ends long, n_distinct long, n_upper long, n_letters long, n_stutter long, n_shouts long"
 _SPACES = bytes([9, 10, 11, 12, 13, 32])
 _KEEP_LEAD = bytes(b for b in range(0x80, 0xC0))
+_UPPER = bytes(range(65, 91))
+_LETTERS = _UPPER + bytes(range(97, 123))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,7 +63,7 @@ def text_features(docs: DataFrame) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> dict:
         texts = bytes_of(batch)
         n = len(texts)
-        rows = np.zeros((n, 9), np.int64)
+        rows = np.zeros((n, 12), np.int64)
         words: list[bytes] = []
         sizes = np.zeros(n, np.int64)
         for i, b in enumerate(texts):
@@ -71,7 +75,10 @@ def text_features(docs: DataFrame) -> DataFrame:
             symbols = len(solid) - len(solid.translate(None, SYMBOLS))
             lines = [x for x in b.split(b"\n") if x and not x.isspace()]
             ends = sum(x.rstrip()[-1:] in b".!?\"" for x in lines)
-            rows[i] = (len(w), chars, symbols, len(lines) - len(set(lines)), 0, len(lines), ends, sum(map(bytes.isalpha, w)) if chars == len(solid) else len(w), len(set(w)))
+            upper = len(solid) - len(solid.translate(None, _UPPER))
+            letters = len(solid) - len(solid.translate(None, _LETTERS))
+            stutter = sum(map(eq, w, w[1:]))
+            rows[i] = (len(w), chars, symbols, len(lines) - len(set(lines)), 0, len(lines), ends, len(set(w)), upper, letters, stutter, solid.count(b"!"))
         h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
         rows[:, 4] = _repeat_words(h, np.repeat(np.arange(n), sizes), n)
         names = [f.split()[0] for f in FEATURES.split(", ")][1:]
@@ -88,58 +95,78 @@ def rules() -> dict[str, Column]:
     """Votes by name; null abstains.  Empty texts: every ratio is null, so only the length rule votes."""
     n = F.col("n_words")
     per_word = lambda c: F.try_divide(F.col(c), n)
+    per_line = lambda c: F.try_divide(F.col(c), F.col("n_lines"))
     mean = per_word("word_chars")
-    symbols = per_word("n_symbols")
-    dup = F.try_divide(F.col("n_dup_lines"), F.col("n_lines"))
-    repeat = per_word("n_repeat_words")
-    ends = F.try_divide(F.col("n_ends"), F.col("n_lines"))
-    variety = per_word("n_distinct")
+    capitals = F.try_divide(F.col("n_upper"), F.col("n_letters"))
     return {
         "length": _vote((n >= 50) & (n <= 50_000), (n < 20) | (n > 200_000)),
         "word_length": _vote((mean >= 3) & (mean <= 9), (mean < 2) | (mean > 14)),
-        "symbols": _vote(symbols <= 0.02, symbols > 0.1),
-        "dup_lines": _vote(dup <= 0.1, dup > 0.3),
-        "repeats": _vote(repeat <= 0.1, repeat > 0.3),
-        "line_ends": _vote(ends >= 0.6, ends < 0.1),
-        "variety": F.when(n >= 20, _vote(variety >= 0.25, variety < 0.1)),
+        "symbols": _vote(per_word("n_symbols") <= 0.02, per_word("n_symbols") > 0.1),
+        "dup_lines": _vote(per_line("n_dup_lines") == 0, per_line("n_dup_lines") > 0.3),
+        "repeats": _vote(per_word("n_repeat_words") <= 0.05, per_word("n_repeat_words") > 0.3),
+        "stutter": _vote(per_word("n_stutter") <= 0.05, per_word("n_stutter") > 0.2),
+        "capitals": _vote(capitals <= 0.2, capitals > 0.5),
+        "shouts": _vote(per_word("n_shouts") <= 0.02, per_word("n_shouts") > 0.1),
+        "line_ends": _vote(per_line("n_ends") >= 0.6, per_line("n_ends") < 0.1),
+        "variety": F.when(n >= 20, _vote(per_word("n_distinct") >= 0.25, per_word("n_distinct") < 0.1)),
     }
 
 
-def fit_accuracies(patterns: list[tuple[tuple, int]], rounds: int = 200, prior_good: float = 0.9) -> dict:
-    """EM for two latent classes over (votes, count) rows.
-
-    Starts from rules that are right nine times in ten.  Each rule's vote rates carry add-one counts, and
-    its accuracy stays at 0.5 or above in both classes, which keeps the classes from changing places.
-    """
-    if not patterns:
-        return {"prior": prior_good, "rates": []}
-    v = np.array([[-1 if x is None else x for x in p] for p, _ in patterns])
-    c = np.array([k for _, k in patterns], float)
-    good_rate = np.full(v.shape[1], 0.9)  # P(vote good | good, votes)
-    bad_rate = np.full(v.shape[1], 0.9)  # P(vote bad | bad, votes)
-    prior = prior_good
-    for _ in range(rounds):
-        up = np.where(v == 1, np.log(good_rate), np.where(v == 0, np.log1p(-good_rate), 0)).sum(1) + math.log(prior)
-        down = np.where(v == 0, np.log(bad_rate), np.where(v == 1, np.log1p(-bad_rate), 0)).sum(1) + math.log1p(-prior)
-        post = 1 / (1 + np.exp(np.clip(down - up, -700, 700)))
-        pg, pb = c * post, c * (1 - post)
-        g = np.array([(pg[v[:, j] == 1].sum() + 1) / (pg[v[:, j] >= 0].sum() + 2) for j in range(v.shape[1])])
-        b = np.array([(pb[v[:, j] == 0].sum() + 1) / (pb[v[:, j] >= 0].sum() + 2) for j in range(v.shape[1])])
-        g, b = np.clip(g, 0.5, 0.999), np.clip(b, 0.5, 0.999)
-        p = min(max((pg.sum() + 1) / (c.sum() + 2), 0.01), 0.99)
-        moved = max(np.abs(g - good_rate).max(), np.abs(b - bad_rate).max(), abs(p - prior))
-        good_rate, bad_rate, prior = g, b, p
-        if moved < 1e-9:
-            break
-    return {"prior": float(prior), "rates": list(zip(map(float, good_rate), map(float, bad_rate)))}
+#: How often a rule that votes says bad, at the start of EM, which also draws a small corpus to it: on the
+#: texts whose fault it looks for, on texts with another fault, and on good ones.  Abstaining says nothing.
+ON_FAULT, ON_OTHER, ON_GOOD = 0.95, 0.05, 0.006
+PRIOR_GOOD = 0.85
+#: The start's weight against the texts', as a share of them.
+DRAW = 0.02
+
+
+def start_rates(width: int) -> np.ndarray:
+    """[rule, class, bad or good vote]; class 0 is good, class j + 1 holds the fault that rule j looks for."""
+    bad = np.full((width, width + 1), ON_OTHER)
+    bad[:, 0] = ON_GOOD
+    bad[np.arange(width), np.arange(width) + 1] = ON_FAULT
+    return np.stack([bad, 1 - bad], axis=2)
+
+
+def fit_accuracies(patterns: list[tuple[tuple, int]], width: int, rounds: int = 300, prior_good: float = PRIOR_GOOD, draw: float = DRAW) -> dict:
+    """MAP-EM over (votes, count) rows: P(class), and P(vote | class, the rule votes) of each rule.
+
+    Bad texts mostly have one fault, so there is a class for each rule's fault beside the good class; one
+    bad class would have to fail all rules alike.  Rates and shares keep draw * texts pseudo-counts of the
+    start, so classes can't change places and a rule that nothing confirms keeps its start's accuracy."""
+    start = start_rates(width)
+    share0 = np.array([prior_good] + [(1 - prior_good) / max(width, 1)] * width)
+    rates, share = start, share0
+    if patterns:
+        v = np.array([[-1 if x is None else x for x in p] for p, _ in patterns])
+        c = np.array([k for _, k in patterns], float)
+        weight = draw * c.sum() + 1
+        hot = np.stack([v == k for k in range(2)], axis=2).astype(float)
+        for _ in range(rounds):
+            log = np.einsum("pjk,jck->pc", hot, np.log(rates)) + np.log(share)
+            post = np.exp(log - log.max(axis=1, keepdims=True))
+            post = post / post.sum(axis=1, keepdims=True) * c[:, None]
+            new = np.einsum("pc,pjk->jck", post, hot) + weight * start * share0[None, :, None]
+            new /= new.sum(axis=2, keepdims=True)
+            shares = (post.sum(axis=0) + weight * share0) / (c.sum() + weight)
+            moved = max(np.abs(new - rates).max(), np.abs(shares - share).max())
+            rates, share = new, shares
+            if moved < 1e-9:
+                break
+    return {"share": share.tolist(), "rates": rates.tolist()}
 
 
 def posterior(votes: list[Column], model: dict) -> Column:
     """P(good | votes) under the fitted model, as a column."""
-    z = F.lit(math.log(model["prior"]) - math.log1p(-model["prior"]))
-    for vote, (g, b) in zip(votes, model["rates"]):
-        z = z + F.when(vote == 1, math.log(g) - math.log1p(-b)).when(vote == 0, math.log1p(-g) - math.log(b)).otherwise(0.0)
-    return 1 / (1 + F.exp(-z))
+
+    def weight(k: int) -> Column:
+        z = F.lit(math.log(model["share"][k]))
+        for vote, rate in zip(votes, model["rates"]):
+            z = z + F.when(vote == 0, math.log(rate[k][0])).when(vote == 1, math.log(rate[k][1])).otherwise(0.0)
+        return F.exp(z)
+
+    good = weight(0)
+    return good / sum((weight(k) for k in range(1, len(model["share"]))), good)
 
 
 def weak_supervision(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -152,10 +179,11 @@ def weak_supervision(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     named = rules()
     votes = features.select(*[v.alias(k) for k, v in named.items()])
     histogram = [(tuple(r)[:-1], r["count"]) for r in votes.groupBy(*named).count().collect()]
-    model = fit_accuracies(sorted(histogram, key=str))
+    model = fit_accuracies(sorted(histogram, key=str), len(named))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    p = posterior(list(named.values()), model)
-    return features.select(
+    voted = features.select("*", *[v.alias(f"vote_{k}") for k, v in named.items()])
+    p = posterior([F.col(f"vote_{k}") for k in named], model)
+    return voted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (p >= threshold)).alias("kept"), p.alias("quality"),
     )

@@ -309,21 +309,20 @@ def test_quality(spark, small, odd, empty):
     assert len(o) == odd.count() and quality.weak_supervision(empty).count() == 0
 
 
-def test_em_finds_accuracies():
+def test_em_finds_faults_and_rates():
     rng = np.random.default_rng(5)
-    truth = rng.random(20_000) < 0.8
-    rates = [(0.95, 0.9), (0.8, 0.85), (0.9, 0.7)]
-    votes = []
-    for g, b in rates:
-        v = np.where(truth, rng.random(20_000) < g, rng.random(20_000) >= b)
-        votes.append(np.where(rng.random(20_000) < 0.1, -1, v.astype(int)))
-    rows = {}
-    for r in zip(*votes):
-        k = tuple(None if x < 0 else int(x) for x in r)
-        rows[k] = rows.get(k, 0) + 1
-    m = quality.fit_accuracies(sorted(rows.items(), key=str), rounds=2000)
-    assert m["prior"] == pytest.approx(0.8, abs=0.05)
-    assert all(abs(a - g) < 0.06 and abs(b - h) < 0.12 for (a, b), (g, h) in zip(m["rates"], rates))
+    n = 20_000
+    kind = rng.choice(4, n, p=[0.88, 0.05, 0.04, 0.03])  # 0 is good, k has the fault of rule k - 1
+    rows, truth = {}, {}
+    for t in kind:
+        r = rng.random(3)
+        votes = tuple(0 if (t == j + 1 and r[j] < 0.9) or r[j] < 0.01 else None if r[j] > 0.9 else 1 for j in range(3))
+        rows[votes] = rows.get(votes, 0) + 1
+        truth.setdefault(votes, []).append(t == 0)
+    m = quality.fit_accuracies(sorted(rows.items(), key=str), 3)
+    assert m["share"][0] == pytest.approx(0.88, abs=0.04)
+    assert all(m["rates"][j][j + 1][0] > 0.8 and m["rates"][j][0][0] < 0.03 for j in range(3))
+    assert quality.fit_accuracies([], 3)["share"][0] == quality.PRIOR_GOOD
 
 
 # ---- 7: lines -------------------------------------------------------------------------------------------
