@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, documents, map_rows, written
+from .common import bytes_of, documents, free_shuffles, give_back, map_rows, written
 from .wordhash import mix, words
 
 SIMILARITY = 0.8
@@ -26,7 +26,7 @@ _HASH_BITS = 42
 #: Bytes of text tokenised at a time: what stays in a core's cache.
 _SLICE = 1 << 18
 #: Rows of the prefix index that one reducer holds at a time, about.
-BUCKET_ROWS = 400_000
+BUCKET_ROWS = 150_000
 _NO_DOC = 2**63 - 1
 
 
@@ -52,7 +52,7 @@ class Lines:
         line = np.searchsorted(breaks, starts)  # numbered through all texts
         token = h >> np.uint64(64 - _HASH_BITS)
         if rarity is not None:
-            token |= rarity[(token >> np.uint64(_HASH_BITS - 18)).astype(np.int64)].astype(np.uint64) << np.uint64(_HASH_BITS)
+            token |= rarity[_counter(token)].astype(np.uint64) << np.uint64(_HASH_BITS)
         order = np.lexsort((token, line)) if len(breaks) > 60_000 else None
         if order is None:  # line number and token fit one word when sorted apart from each other's bits
             first = np.argsort(token, kind="stable")
@@ -87,6 +87,85 @@ def prefix_lengths(sizes: np.ndarray, t: float) -> np.ndarray:
     return sizes - _need(sizes, t) + 1
 
 
+def table_parts(table: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in np.split(table, 16)]
+
+
+def summed_table(parts: DataFrame) -> np.ndarray:
+    """The sum of tables of COUNTERS numbers that arrive in 16 parts (part, counts); its size never grows."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(v.as_buffer(), np.int64)
+                total[part] = total[part] + x if part in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+
+    table = np.zeros((16, COUNTERS // 16), np.int64)
+    local = parts.mapInArrow(add, "part int, counts binary")
+    for r in local.repartition(16, "part").mapInArrow(add, "part int, counts binary").collect():
+        table[r["part"]] += np.frombuffer(r["counts"], np.int64)
+    return table.ravel()
+
+
+#: Flags of a set of keys or words that is sent to all tasks: of fixed size, so it never grows.  What shares
+#: a flag with a member passes too, which costs work but changes nothing.
+FLAGS = 1 << 22
+
+
+def flag_parts(at: np.ndarray) -> dict:
+    flags = np.zeros(FLAGS, bool)
+    flags[at] = True
+    return {"part": list(range(16)), "counts": [x.tobytes() for x in np.split(np.packbits(flags), 16)]}
+
+
+def united_flags(parts: DataFrame) -> np.ndarray:
+    """The union of flag tables that arrive as flag_parts()."""
+
+    def unite(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(v.as_buffer(), np.uint8)
+                total[part] = total[part] | x if part in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+
+    table = np.zeros((16, FLAGS // 128), np.uint8)
+    local = parts.mapInArrow(unite, "part int, counts binary")
+    for r in local.repartition(16, "part").mapInArrow(unite, "part int, counts binary").collect():
+        table[r["part"]] |= np.frombuffer(r["counts"], np.uint8)
+    return np.unpackbits(table.ravel()).astype(bool)
+
+
+def _flag(x: np.ndarray) -> np.ndarray:
+    return (mix(x.view(np.uint64)) >> np.uint64(42)).astype(np.int64)
+
+
+def open_counters(still: DataFrame) -> np.ndarray:
+    """Flags of the keys of still(set_key); the classes needn't be joined to know which are open."""
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        return flag_parts(_flag(batch.column(0).to_numpy()))
+
+    return united_flags(map_rows(still, ["set_key"], kernel, "part int, counts binary"))
+
+
+def words_of_open(classes: DataFrame, is_open: np.ndarray) -> np.ndarray:
+    """Flags of the prefix words of open classes: in a later round the index holds no others."""
+    shared = classes.sparkSession.sparkContext.broadcast(is_open)
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        use = shared.value[_flag(batch.column(0).to_numpy())]
+        return flag_parts(_flag(np.frombuffer(b"".join(p for p, k in zip(batch.column(1).to_pylist(), use) if k), np.uint64)))
+
+    return united_flags(map_rows(classes, ["set_key", "prefix"], kernel, "part int, counts binary"))
+
+
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return ((tokens >> np.uint64(_HASH_BITS - 18)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
 def count_words(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
     """The rarity class of each counter (halves of its binary logarithm) and (doc_id, n_lines) of lines with words."""
 
@@ -97,27 +176,13 @@ def count_words(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
         lines = np.zeros(len(texts), np.int64)
         for a, b in _slices(texts):
             x = Lines(texts[a:b], None)
-            total += np.bincount((x.tokens >> np.uint64(_HASH_BITS - 18)).astype(np.int64), minlength=COUNTERS)
+            total += np.bincount(_counter(x.tokens), minlength=COUNTERS)
             lines[a:b] = np.bincount(x.text, minlength=b - a)
-        step = COUNTERS // 16
-        parts = [total[i * step : (i + 1) * step].tobytes() for i in range(16)]
-        return {"doc_id": ids + [None] * 16, "n_lines": lines.tolist() + [0] * 16, "part": [None] * len(ids) + list(range(16)), "counts": [None] * len(ids) + parts}
+        return {"doc_id": ids + [None] * 16, "n_lines": lines.tolist() + [0] * 16, "part": [None] * len(ids) + list(range(16)), "counts": [None] * len(ids) + table_parts(total)}
 
     seen = written(map_rows(docs, ["doc_id", "text"], kernel, "doc_id long, n_lines long, part int, counts binary"))
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(v.as_buffer(), np.int64)
-                total[part] = total[part] + x if part in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
-
-    table = np.zeros(COUNTERS, np.int64)
-    step = COUNTERS // 16
-    parts = seen.filter("part is not null").select("part", "counts").mapInArrow(add, "part int, counts binary")
-    for r in parts.repartition(16, "part").mapInArrow(add, "part int, counts binary").collect():
-        table[r["part"] * step : (r["part"] + 1) * step] += np.frombuffer(r["counts"], np.int64)
+    table = summed_table(seen.filter("part is not null").select("part", "counts"))
     rarity = np.minimum(np.floor(2 * np.log2(np.maximum(table, 1))), 63).astype(np.uint8)
     return rarity, seen.filter("part is null").select("doc_id", "n_lines")
 
@@ -173,7 +238,7 @@ def _candidates(token, place, size, doc, line, b0, b1, t: float):
     at = 0
     while at < n:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + 4_000_000, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, base + 150_000, side="right")))
         c = count[at:to]
         i = np.repeat(np.arange(at, to), c)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
@@ -189,25 +254,53 @@ def _candidates(token, place, size, doc, line, b0, b1, t: float):
         at = to
 
 
-_ROW = np.dtype([("token", "<u8"), ("key", "<i8"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4")])
+_ROW = np.dtype([("token", "<u8"), ("key", "<i8"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("open", "u1")])
+#: A later line's candidates per reducer and round, and how much they grow by round.
+FEW, GROWTH = 64, 8
+#: Candidate pairs that a reducer adds at least before it thins all to the earliest few of each line.
+_KEEP = 300_000
+
+
+def _thin(early: np.ndarray, late: np.ndarray, rows: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `few` earliest different candidates of each later class, in order; and the classes that had more."""
+    key, other = rows["key"][late], rows["key"][early]
+    order = np.lexsort((other, rows["line"][early], rows["doc"][early], key))
+    early, late, key, other = early[order], late[order], key[order], other[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
+    early, late, key = early[new], late[new], key[new]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(at, len(key)))
+    nth = np.arange(len(key)) - np.repeat(at, count)
+    return early[nth < few], late[nth < few], key[at][count > few]
+
 
+def candidate_lists(classes: DataFrame, t: float, few: int, is_open: np.ndarray | None = None) -> DataFrame:
+    """(later, first_key, rest, more) for the open classes that have earlier candidates; None: all are open.
 
-def candidate_lists(classes: DataFrame, t: float) -> DataFrame:
-    """(later, first_key, rest): for a class, the earliest earlier candidate and its other candidates' keys."""
+    Each reducer gives a later class its `few` earliest candidates; first_key is the earliest of all, rest
+    the others, and more says that a reducer had others still.  So a group of near copies, in which all
+    are candidates of all, makes rows in proportion to its size."""
+    only = None if is_open is None else words_of_open(classes, is_open)
+    tables = classes.sparkSession.sparkContext.broadcast((is_open, only))
     n_rows = classes.agg(F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0)).cast("long")).first()[0]
     buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
 
     def pack(batches):
+        give_back()
         for batch in batches:
             key, doc, line, size, b0, b1 = (batch.column(i).to_numpy() for i in range(6))
+            opened, wanted = tables.value
             prefix = batch.column(6).to_pylist()
             p = np.fromiter(map(len, prefix), np.int64, len(prefix)) // 8
             row = np.repeat(np.arange(len(p)), p)
             out = np.zeros(len(row), _ROW)
             out["token"] = np.frombuffer(b"".join(prefix), np.uint64)
             out["place"] = np.arange(len(row)) - np.repeat(np.cumsum(p) - p, p)
-            for name, v in (("key", key), ("doc", doc), ("line", line), ("size", size), ("b0", b0.view(np.uint64)), ("b1", b1.view(np.uint64))):
+            for name, v in (("key", key), ("doc", doc), ("line", line), ("size", size), ("b0", b0.view(np.uint64)), ("b1", b1.view(np.uint64)), ("open", np.ones(len(key), bool) if opened is None else opened[_flag(key)])):
                 out[name] = v[row]
+            if wanted is not None:
+                out = out[wanted[_flag(np.ascontiguousarray(out["token"]))]]
             bucket = (mix(out["token"]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, out = bucket[order], out[order]
@@ -216,35 +309,54 @@ def candidate_lists(classes: DataFrame, t: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in np.split(out, cuts)] if len(bucket) else [], pa.binary())], names=["bucket", "rows"])
 
     def join(table: pa.Table) -> pa.Table:
+        give_back()
         rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), _ROW)
-        early, late = [], []
+        early, late, more = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        kept, room = 0, _KEEP
         for a, b in _candidates(*(np.ascontiguousarray(rows[c]) for c in ("token", "place", "size", "doc", "line", "b0", "b1")), t):
-            early.append(a), late.append(b)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (early, late))
-        ka, kb = rows["key"][a], rows["key"][b]
-        order = np.lexsort((ka, rows["line"][a], rows["doc"][a], kb))
-        ka, kb, doc, line = ka[order], kb[order], rows["doc"][a][order], rows["line"][a][order]
-        new = np.ones(len(kb), bool)
-        new[1:] = (kb[1:] != kb[:-1]) | (ka[1:] != ka[:-1])
-        ka, kb, doc, line = ka[new], kb[new], doc[new], line[new]
-        at = np.flatnonzero(np.concatenate(([True], kb[1:] != kb[:-1]))) if len(kb) else np.zeros(0, np.int64)
-        ends = np.concatenate((at[1:], [len(kb)])) if len(at) else at
-        raw = ka.tobytes()
-        lists = [raw[8 * s : 8 * e] for s, e in zip(at.tolist(), ends.tolist())]
+            use = rows["open"][b] == 1
+            early.append(a[use].astype(np.int32)), late.append(b[use].astype(np.int32))
+            kept += int(use.sum())
+            if kept > room:
+                x, y, z = _thin(np.concatenate(early), np.concatenate(late), rows, few)
+                early, late, kept, room = [x.astype(np.int32)], [y.astype(np.int32)], 0, max(_KEEP, len(x))
+                more.append(z)
+        a, b, z = _thin(np.concatenate(early), np.concatenate(late), rows, few)
+        had_more = np.unique(np.concatenate([*more, z]))
+        key, other = rows["key"][b], rows["key"][a]
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        ends = np.append(at[1:], len(key)) if len(at) else at
+        lists = [other[s:e] for s, e in zip(at.tolist(), ends.tolist())]
         return pa.Table.from_arrays(
-            [pa.array(kb[at], pa.int64()), pa.array(doc[at], pa.int64()), pa.array(line[at], pa.int32()), pa.array(ka[at], pa.int64()), pa.array(lists, pa.binary())],
-            names=["later", "doc", "line", "first_key", "keys"],
-        )
+            [pa.array(key[at], pa.int64()), pa.array(rows["doc"][a][at], pa.int64()), pa.array(rows["line"][a][at], pa.int32()), pa.array(other[at], pa.int64()),
+             pa.array(lists, pa.list_(pa.int64())), pa.array(np.isin(key[at], had_more), pa.bool_())],
+            names=["later", "doc", "line", "first_key", "keys", "more"],
+        )
 
     index = classes.select("set_key", "doc", "line", "n", "b0", "b1", "prefix").mapInArrow(pack, "bucket long, rows binary")
-    lists = index.groupBy("bucket").applyInArrow(join, "later long, doc long, line int, first_key long, keys binary")
-    return written(lists.groupBy("later").agg(F.min(F.struct("doc", "line", "first_key")).getField("first_key").alias("first_key"), F.collect_list("keys").alias("keys")))
+    found = index.groupBy("bucket").applyInArrow(join, "later long, doc long, line int, first_key long, keys array<long>, more boolean")
+    g = found.groupBy("later").agg(F.min(F.struct("doc", "line", "first_key")).getField("first_key").alias("first_key"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.bool_or("more").alias("more"))
+    return written(g.select("later", "first_key", F.filter("keys", lambda k: k != F.col("first_key")).alias("rest"), "more"))
+
+
+def _documents_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(doc, text) of the documents of lists(doc), and of the few that share a flag with one: other texts don't
+    go into the join's shuffle."""
+    ids = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
+    wanted = docs.sparkSession.sparkContext.broadcast(united_flags(map_rows(lists, ["doc"], lambda b: flag_parts(_flag(ids(b.column(0)))), "part int, counts binary")))
+
+    def passing(batches):
+        give_back()
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value[_flag(ids(batch.column(0)))]))
+
+    return docs.select(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "text").mapInArrow(passing, "doc long, text string")
 
 
 def class_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set_key, words): the whole sets of the wanted(set_key, doc, line) lines, from their texts."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "set_key")).alias("lines"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "text").join(lists, "doc").select("lines", "text")
+    lists = written(wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "set_key")).alias("lines")))
+    keyed = _documents_of(docs, lists).join(lists, "doc").select("lines", "text")
 
     def kernel(batch: pa.RecordBatch) -> dict:
         lists = batch.column(0).to_pylist()
@@ -285,25 +397,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 def matched_classes(docs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
     """(later): the classes that an earlier, different class matches.
 
-    Every class is verified against its earliest candidate, which settles groups of near copies; only
-    those it leaves open are verified against their other candidates.
+    A class is verified against its earliest candidate, which settles near all of a group of near copies,
+    then against its few others.  Only classes that are still open and had more candidates go into another
+    round with more of them each, until none is left.
     """
-    lists = candidate_lists(classes, t)
-    spread = lambda c: F.explode(F.array_distinct(c))
-
-    def unpack(batch: pa.RecordBatch) -> dict:
-        keys = [np.unique(np.frombuffer(b"".join(x), np.int64)) for x in batch.column(2).to_pylist()]
-        return {"later": batch.column(0), "first_key": batch.column(1), "rest": [k[k != f] for k, f in zip(keys, batch.column(1).to_pylist())]}
-
-    whole = written(map_rows(lists, ["later", "first_key", "keys"], unpack, "later long, first_key long, rest array<long>"))
     place = classes.select("set_key", "doc", "line")
-    ends = whole.select(F.explode(F.concat(F.array("later", "first_key"), "rest")).alias("set_key")).distinct()
-    sets = written(class_words(docs, place.join(ends, "set_key")))  # all that may be compared, in one pass over the texts
-    first = written(_verified(whole.select("later", F.col("first_key").alias("earlier")), sets, t))
-    open_pairs = written(whole.join(first, "later", "left_anti").select("later", spread(F.col("rest")).alias("earlier")))
-    if open_pairs.isEmpty():
-        return first
-    return first.unionAll(written(_verified(open_pairs, sets, t)))
+    matched: DataFrame | None = None
+    few, is_open = FEW, None
+    sets: DataFrame | None = None
+    still: DataFrame | None = None
+    while True:
+        lists = candidate_lists(classes, t, few, is_open)
+        free_shuffles(docs.sparkSession)
+        ends = lists.select(F.explode(F.concat(F.array("later", "first_key"), "rest")).alias("set_key")).distinct()
+        missing = ends if sets is None else written(ends.join(sets.select("set_key"), "set_key", "left_anti"))
+        if sets is None or not missing.isEmpty():  # all that may be compared, in one pass over the texts
+            more = written(class_words(docs, place.join(missing, "set_key")))
+            sets = more if sets is None else sets.unionAll(more)
+        first = written(_verified(lists.select("later", F.col("first_key").alias("earlier")), sets, t))
+        left = lists.join(first, "later", "left_anti")
+        second = written(_verified(left.select("later", F.explode("rest").alias("earlier")), sets, t))
+        found = first.unionAll(second)
+        matched = found if matched is None else matched.unionAll(found)
+        rest = left.filter("more").select("later").join(second, "later", "left_anti").withColumnRenamed("later", "set_key")
+        still = written(rest if still is None else rest.join(still, "set_key", "left_semi"))
+        free_shuffles(docs.sparkSession)
+        if still.isEmpty():
+            return matched
+        few *= GROWTH
+        is_open = open_counters(still)
 
 
 def kept_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
@@ -317,6 +439,7 @@ def kept_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     narrow = docs.select("doc_id", "text")
     rarity, counted = count_words(narrow)
     classes = line_classes(narrow, rarity, t)
+    free_shuffles(docs.sparkSession)
     gone = matched_classes(narrow, classes, t)
     kept = classes.join(gone.select(F.col("later").alias("set_key")), "set_key", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("kept"))
     own = F.coalesce("doc_id", F.lit(_NO_DOC))
@@ -325,14 +448,16 @@ def kept_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """docs with only the kept lines in text, and n_chars to fit; a text whose lines all go is empty."""
-    kept = kept_lines(docs, t).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("kept_id"), "kept")
-    x = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left")
-    stays = lambda line, i: F.array_contains(F.col("kept"), i) | ~line.rlike(r"[^\x20\x09-\x0D]")
-    text = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
-    x = x.withColumn("text", F.when(F.size("kept") > 0, text).otherwise(F.when(F.col("text").isNotNull(), F.lit(""))))
-    return x.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else x.select(*docs.columns)
+    kept = kept_lines(docs, t).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_kept_id"), F.col("kept").alias("_kept"))
+    x = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")), "left")
+    stays = lambda line, i: F.array_contains(F.col("_kept"), i) | ~line.rlike(r"[^\x20\x09-\x0D]")
+    text = F.array_join(F.filter(F.split("_text", "\n"), stays), "\n")
+    x = x.withColumn("_new", F.when(F.size("_kept") > 0, text).otherwise(F.when(F.col("_text").isNotNull(), F.lit(""))))
+    new = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
+    return x.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept): the kept lines' numbers, comma-joined."""
     x = kept_lines(documents(spark, sf_dir))
-    return x.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"), "kept")
+    return x.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"), F.array_join(F.transform("kept", lambda i: i.cast("string")), ",").alias("kept"))
