@@ -68,13 +68,13 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
-def pieces(batches, size_of: str):
-    """Record batches cut into about CHUNK_BYTES each, whole rows only, by the lengths of a text column."""
+def pieces(batches, size_of: str, chunk: int = CHUNK_BYTES):
+    """Record batches cut into about `chunk` bytes each, whole rows only, by the lengths of a text column."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        if batch.nbytes <= 2 * CHUNK_BYTES:
+        if batch.nbytes <= 2 * chunk:
             yield batch
             continue
         col = batch.column(batch.schema.get_field_index(size_of))
@@ -85,7 +85,7 @@ def pieces(batches, size_of: str):
         at = 0
         while at < n:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + chunk, side="right")))
             yield batch.slice(at, to - at)
             at = to
 
@@ -96,7 +96,7 @@ def byte_lengths(col: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def map_rows(df: DataFrame, columns: list[str], kernel, schema: str) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], kernel, schema: str, chunk: int = CHUNK_BYTES) -> DataFrame:
     """Run kernel(record batch) -> dict of columns over every batch of df[columns], in Arrow form."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -108,7 +108,7 @@ def map_rows(df: DataFrame, columns: list[str], kernel, schema: str) -> DataFram
 
     def run(batches):
         give_back()
-        for batch in pieces(batches, size_of):
+        for batch in pieces(batches, size_of, chunk):
             out = kernel(batch)
             arrays = [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for f in target for v in [out[f.name]]]
             arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, target)]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship_package
-from .common import documents, map_rows, pieces, texts_of, written
+from .common import documents, give_back, lean_batches, map_rows, pieces, texts_of, written
 
 TOKEN = re.compile(r"\w+")
 DISCOUNT = 0.75
@@ -28,6 +28,8 @@ TOP_WORDS = 3
 #: Bound of the labelled sample: at most this many rows of each class train the models, and as many again
 #: of each fit the curve.  Model size and driver memory follow from it, not from the corpus.
 SAMPLE_ROWS = 12_000
+#: Bytes of text counted or scored at once: counts of word pairs take many times their text's size.
+COUNT_BYTES, SCORE_BYTES = 1 << 19, 1 << 21
 #: A word or word pair has an estimate of its own if it stands in this many texts of the sample, and in as
 #: many as this share of the smaller class.
 LEAST_TEXTS, LEAST_SHARE = 7, 0.016
@@ -72,7 +74,7 @@ def count_grams(sample: DataFrame) -> DataFrame:
             counts[(c, "")] += 1
         return {"gram": [g for _, g in counts], "toxic": [c for c, _ in counts], "texts": list(counts.values())}
 
-    part = map_rows(sample.filter("not calibrating"), ["toxic", "text"], kernel, "gram string, toxic int, texts long")
+    part = map_rows(sample.filter("not calibrating"), ["toxic", "text"], kernel, "gram string, toxic int, texts long", COUNT_BYTES)
     both = part.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("texts"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)])
     return both
 
@@ -204,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
         e = shared.value.evidence(texts_of(batch))
         return {"toxic": batch.column(0), "e": list(e)}
 
-    seen = map_rows(sample.filter("calibrating"), ["toxic", "text"], kernel, "toxic int, e array<double>").collect()
+    seen = map_rows(sample.filter("calibrating"), ["toxic", "text"], kernel, "toxic int, e array<double>", SCORE_BYTES).collect()
     y = np.array([r["toxic"] for r in seen], float)
     x = np.array([r["e"] for r in seen]).reshape(-1, 4)
     if not 0 < y.sum() < len(y):
@@ -230,13 +232,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
             z = z + model.evidence(texts_of(batch)) @ curve[1:]
         return {"doc_id": batch.column(0), "score": 1 / (1 + np.exp(-np.clip(z, -700, 700)))}
 
-    scored = map_rows(docs, ["doc_id", "text"], kernel, "doc_id long, score double")
+    scored = map_rows(docs, ["doc_id", "text"], kernel, "doc_id long, score double", SCORE_BYTES)
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs without the rows predicted toxic, all columns as they are; rows are judged where they stand."""
     ship_package(docs.sparkSession)
+    lean_batches(docs.sparkSession)
     model, curve = fit(docs, labels, rows)
     if model is None:
         return docs
@@ -244,8 +247,9 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     at = docs.columns.index("text")
 
     def keep(batches):
+        give_back()
         model, curve = shared.value
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SCORE_BYTES):
             texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(curve[0] + model.evidence(texts) @ curve[1:] < 0))
 
