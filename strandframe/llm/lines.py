@@ -175,9 +175,13 @@ def count_words(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
         total = np.zeros(COUNTERS, np.int64)
         lines = np.zeros(len(texts), np.int64)
         for a, b in _slices(texts):
-            x = Lines(texts[a:b], None)
-            total += np.bincount(_counter(x.tokens), minlength=COUNTERS)
-            lines[a:b] = np.bincount(x.text, minlength=b - a)
+            data = np.frombuffer(b"\n".join(texts[a:b]), np.uint8)
+            starts, _, h = words(data)
+            total += np.bincount(_counter(h >> np.uint64(64 - _HASH_BITS)), minlength=COUNTERS)
+            line = np.searchsorted(np.flatnonzero(data == 10), starts)
+            line = line[np.concatenate(([True], line[1:] != line[:-1]))] if len(line) else line
+            text_ends = np.cumsum([t.count(b"\n") + 1 for t in texts[a:b]])
+            lines[a:b] = np.bincount(np.searchsorted(text_ends, line, side="right"), minlength=b - a)
         return {"doc_id": ids + [None] * 16, "n_lines": lines.tolist() + [0] * 16, "part": [None] * len(ids) + list(range(16)), "counts": [None] * len(ids) + table_parts(total)}
 
     seen = written(map_rows(docs, ["doc_id", "text"], kernel, "doc_id long, n_lines long, part int, counts binary"))
