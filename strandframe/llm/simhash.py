@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, components, documents, map_rows, written
 from .hamming import close_pairs
+from .neardup import SHINGLE, SIMILARITY, near_copies
 
 SEED = 42
 
@@ -65,12 +66,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id.
 
+    Links are near_copies(): fingerprints 4 bits apart find few of the pairs at that similarity of shingles.
     Rows that share a doc_id are one document and one of them stays; rows without a doc_id all stay.
     """
-    groups = near_duplicates(docs, shingle, distance)
+    groups = near_copies(docs, shingle, similarity)
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct().withColumn("_stays", F.lit(True))
     x = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id")).join(kept, "_id", "left").filter("_stays or _id is null")
     one = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_row.text")))

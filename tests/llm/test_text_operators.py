@@ -487,6 +487,42 @@ def test_simhash(spark, small, odd, empty):
     assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([0, 3, 4, 6, 7, 8, 9, None], key=str)
 
 
+def edited(rng, words, edits):
+    out = list(words)
+    for i in rng.sample(range(len(out)), edits):
+        out[i] = f"e{rng.randrange(10**9)}"
+    return out
+
+
+def test_keep_first_at_jaccard(spark):
+    rng = random.Random(4)
+    base = [[f"v{rng.randrange(5000)}" for _ in range(rng.randint(200, 400))] for _ in range(150)]
+    texts = [" ".join(w) for w in base]
+    for i, w in enumerate(base):
+        texts.append(" ".join(edited(rng, w, max(1, len(w) * (1 + i % 6) // 150))))
+    texts += [" ".join(edited(rng, base[0], 3)) for _ in range(60)]  # a group of near copies, not all alike
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    pairs = [(i, 150 + i) for i in range(150)] + [(i, j) for i in [0, 150, *range(300, 360)] for j in range(300, 360) if i < j]
+    for i, j in pairs:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            x, y = sorted((root(i), root(j)))
+            up[y] = x
+    want = sorted({root(i) for i in range(len(texts))})
+    assert 150 < len(want) < 280
+    d = docs_of(spark, texts)
+    assert sorted(r.doc_id for r in simhash.keep_first(d).collect()) == want
+    fps = [int(r.fingerprint, 16) for r in sorted(simhash.near_duplicates(d, 5).collect(), key=lambda r: r.doc_id)]
+    close = [(fps[i] ^ fps[j]).bit_count() for i, j in pairs[:150] if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    print("pairs", len(close), "within 4, 8, 12, 16 bits:", [sum(c <= k for c in close) for k in (4, 8, 12, 16)])
+
+
 def test_close_pairs(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(40)]
