@@ -30,9 +30,9 @@ TOP_WORDS = 3
 SAMPLE_ROWS = 12_000
 #: Bytes of text counted or scored at once: counts of word pairs take many times their text's size.
 COUNT_BYTES, SCORE_BYTES = 1 << 19, 1 << 21
-#: A word or word pair has an estimate of its own if it stands in this many texts of the sample, and in as
-#: many as this share of the smaller class.
-LEAST_TEXTS, LEAST_SHARE = 7, 0.016
+#: A word or word pair of the sample has an estimate of its own unless it is a singleton: one text says
+#: nothing of a class.  Above that only discount and shared continuation counts smooth.
+LEAST_TEXTS = 2
 CALIBRATION_FOLD = 4
 
 
@@ -79,26 +79,36 @@ def count_grams(sample: DataFrame) -> DataFrame:
     return both
 
 
+def reliability(n: np.ndarray, texts: tuple[int, int], noise: float) -> np.ndarray:
+    """How far grams' counts by class tell more than chance: (g / (g + noise)) squared, where g is the
+    likelihood-ratio statistic against the classes' shares of texts and noise about what the largest g of as
+    many grams without a class reaches.  It grows with the counts and cuts none off."""
+    share = np.array(texts, float)[:, None] / max(sum(texts), 1)
+    g = 2 * (n * np.log(np.maximum(n, 1e-300) / np.maximum(n.sum(axis=0) * share, 1e-300))).sum(axis=0)
+    g = np.maximum(g, 0)
+    return (g / (g + noise)) ** 2
+
+
 class KneserNey:
-    """Log-likelihood ratios of words and word pairs, from (gram, n0, n1) rows.
+    """Log-likelihood ratios of words and word pairs, from grams and their counts by class.
 
     totals: of all grams, kept or not: per class the counts' sum and the number of different words, and
     for the shared lowest order the number of different pairs.
     """
 
-    def __init__(self, rows: list[tuple[str, int, int]], totals: dict, continuations: dict[str, int]):
-        words = sorted(g for g, _, _ in rows if " " not in g)
+    def __init__(self, grams: list[str], counts: np.ndarray, totals: dict, continuations: dict[str, int]):
+        words = sorted(g for g in grams if " " not in g)
         self.ids = {w: i + 1 for i, w in enumerate(words)}
         v = len(words) + 1
         n = np.zeros((2, v))
-        pairs = []
-        for g, a, b in rows:
-            if " " in g:
-                x, y = g.split(" ")
-                if x in self.ids and y in self.ids:
-                    pairs.append((self.ids[x] * v + self.ids[y], a, b))
-            else:
-                n[:, self.ids[g]] = (a, b)
+        place, key = np.zeros(len(grams), np.int64), np.full(len(grams), -1, np.int64)
+        for k, g in enumerate(grams):
+            x, _, y = g.partition(" ")
+            if not y:
+                place[k] = self.ids[g]
+            elif x in self.ids and y in self.ids:
+                key[k] = self.ids[x] * v + self.ids[y]
+        n[:, place[place > 0]] = counts[:, place > 0]
         shared = np.ones(v)
         for w, i in self.ids.items():
             shared[i] += continuations.get(w, 0)
@@ -109,9 +119,8 @@ class KneserNey:
             total = max(totals["sum"][c], 1)
             back = DISCOUNT * totals["types"] / max(sum(totals["sum"]), 1)  # one weight for both: backing off says nothing
             uni[c] = np.maximum(n[c] - DISCOUNT, 0) / total + back * shared
-        pairs.sort()
-        self.keys = np.array([k for k, _, _ in pairs] or [-1], np.int64)
-        two = np.array([(a, b) for _, a, b in pairs] or [(0, 0)], float).T
+        order = np.argsort(key)[int((key < 0).sum()) :]
+        self.keys, two = (key[order], counts[:, order].astype(float)) if len(order) else (np.array([-1], np.int64), np.zeros((2, 1)))
         first, last = self.keys // v, self.keys % v
         out = np.zeros((2, len(self.keys)))
         for c in (0, 1):
@@ -121,8 +130,9 @@ class KneserNey:
             share = np.maximum(two[c] - DISCOUNT, 0) / np.maximum(context[first], n[c][first])
             left = 1 - np.bincount(np.maximum(first, 0), weights=share, minlength=v)[first]
             out[c] = share + np.maximum(left, 1e-3) * uni[c][last]
-        self.pair_ratio = np.log(out[1]) - np.log(out[0])
-        self.word_ratio = np.log(uni[1]) - np.log(uni[0])
+        noise = 2 * math.log(len(grams) + 2)
+        self.pair_ratio = (np.log(out[1]) - np.log(out[0])) * reliability(two, totals["texts"], noise)
+        self.word_ratio = (np.log(uni[1]) - np.log(uni[0])) * reliability(n, totals["texts"], noise)
         self.word_ratio[0] = 0.0
 
     def ratios(self, ids: np.ndarray, follows: np.ndarray) -> np.ndarray:
@@ -193,13 +203,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
         F.count(F.when(single, 1)).alias("words"), F.count(F.when(F.col("gram").contains(" "), 1)).alias("pairs"),
         F.sum(F.when(single, (F.col("n0") > 0).cast("int") + (F.col("n1") > 0).cast("int"))).alias("types"),
     ).first()
-    totals = {"sum": (t["s0"] or 0, t["s1"] or 0), "words": t["words"], "pairs": t["pairs"], "types": t["types"] or 0}
-    least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * min(size)))
-    kept = [tuple(r) for r in grams.filter((F.col("n0") + F.col("n1") >= least) & (F.col("gram") != "")).select("gram", "n0", "n1").collect()]
-    words = {g for g, _, _ in kept if " " not in g}
-    ends = grams.filter(F.col("gram").contains(" ")).groupBy(F.substring_index("gram", " ", -1).alias("w")).count()
-    continuations = {r["w"]: r["count"] for r in ends.filter(F.col("count") > 1).collect() if r["w"] in words}
-    model = KneserNey(kept, totals, continuations)
+    totals = {"sum": (t["s0"] or 0, t["s1"] or 0), "words": t["words"], "pairs": t["pairs"], "types": t["types"] or 0, "texts": size}
+    kept = grams.filter((F.col("n0") + F.col("n1") >= LEAST_TEXTS) & (F.col("gram") != "")).select("gram", "n0", "n1").toArrow()
+    ends = grams.filter(F.col("gram").contains(" ")).groupBy(F.substring_index("gram", " ", -1).alias("gram")).count()
+    ends = ends.join(grams.filter(single & (F.col("n0") + F.col("n1") >= LEAST_TEXTS)).select("gram"), "gram").toArrow()
+    continuations = dict(zip(ends.column("gram").to_pylist(), ends.column("count").to_pylist()))
+    model = KneserNey(kept.column("gram").to_pylist(), np.stack([kept.column(c).to_numpy() for c in ("n0", "n1")]), totals, continuations)
+    del kept, ends, continuations
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batch: pa.RecordBatch) -> dict:

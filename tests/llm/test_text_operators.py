@@ -156,6 +156,22 @@ def test_toxicity_held_out(spark):
     assert kept.columns == d.columns and abs(kept.count() - 1125) < 40
 
 
+def test_toxicity_in_the_long_tail(spark):
+    """Each insult stands in about 1.2 % of the toxic training texts."""
+    rng = random.Random(2)
+    common = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(3600):
+        words = rng.choices(common, k=14)
+        if i % 2:
+            for j in rng.sample(range(14), 2):
+                words[j] = f"insult{rng.randrange(160)}"
+        texts.append(" ".join(words))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(3600)], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.score_toxicity(docs_of(spark, texts), labels).collect() if r.held_out]
+    assert sum(r.predicted == r.doc_id % 2 for r in held) / len(held) > 0.95
+
+
 def test_toxicity_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     r = by_id(toxicity.score_toxicity(odd, none))
