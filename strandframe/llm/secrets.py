@@ -22,14 +22,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-# Weak parts, group 1 is the span.
-IDENTIFIER = re.compile(r"""\b(?:user(?:name|_?id)?|login|account(?:_?id)?|client_?id|access_?(?:key_?)?id)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9][A-Za-z0-9@._+-]{2,})""", re.IGNORECASE | re.ASCII)
-WEAK_SECRET = re.compile(r"""\b(?:pass|pwd|passphrase|credentials?|auth|bearer|private_?key|signing_?key|password|passwd|secret|token|api_?key)["']?[ \t]*[:=][ \t]*["']?([^\s"'<>,;]{4,})""", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"""(\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,})|\b(?:host|hostname|server|endpoint|url)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9][A-Za-z0-9._:/-]{2,})""", re.IGNORECASE | re.ASCII)
+# Weak parts, group 1 is the span.  Names may have a prefix that ends in an underscore.
+WEAK_NAMES = r"(?:pass|pwd|passphrase|credentials?|auth|bearer|private_?key|signing_?key|password|passwd|secret|token|api_?key)"
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name|_?id)?|login|account(?:_?id)?|client_?id|access_?(?:key_?)?id)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9][A-Za-z0-9@._+-]{2,})""", re.IGNORECASE | re.ASCII)
+WEAK_SECRET = re.compile(rf"""(?<![A-Za-z0-9]){WEAK_NAMES}["']?[ \t]*[:=][ \t]*["']?([^\s"'<>,;]{{4,}})""", re.IGNORECASE | re.ASCII)
+ENDPOINT = re.compile(r"""(\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,})|(?<![A-Za-z0-9])(?:host|hostname|server|endpoint|url)["']?[ \t]*[:=][ \t]*["']?([A-Za-z0-9][A-Za-z0-9._:/-]{2,})""", re.IGNORECASE | re.ASCII)
 
 KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
 #: A linear-time test for texts in which any strong pattern or a weak secret's cue can stand at all.
-CUE = r"""(?i:password|passwd|secret|token|api_?key|pass|pwd|credential|auth|bearer|private_?key|signing_?key)["']?[ \t]*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"""
+CUE = rf"""(?i:{WEAK_NAMES})["']?[ \t]*[:=]|AKIA[A-Z0-9]{{12}}|[0-9a-f]{{32}}"""
 EMPTY = hashlib.sha256(b"").hexdigest()
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string"
 

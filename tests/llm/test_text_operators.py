@@ -132,6 +132,16 @@ def test_secret_rows(spark, odd, empty):
     assert x.spans == "assign:2:18" and x.base_sha256 == hashlib.sha256(b"assign:2:18").hexdigest()
 
 
+def test_secret_filter_skips_nothing(spark):
+    texts = ["username: alice\npassphrase: tr0ub4dor", "host=db1\ncredentials = s3cr3tz!", "DB_USER=alice\nDB_PASS=sesame", "my_host: db1 MY_PWD: abcd"]
+    texts += [f"login: bob\n{cue}: abcd99" for cue in "pass pwd passphrase credential credentials auth bearer privatekey private_key SIGNING_KEY password passwd secret token apikey api_key".split()]
+    got = by_id(secrets.scan_secrets(docs_of(spark, texts)))
+    for i, t in enumerate(texts):
+        strong = secrets.base_spans(t)
+        more = secrets.linked_spans(t, strong)
+        assert len(more) == got[i].n_linked and got[i].spans == secrets._joined(sorted(strong + more)) and len(more) == 2
+
+
 # ---- 3: toxicity ----------------------------------------------------------------------------------------
 
 
