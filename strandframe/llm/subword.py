@@ -2,9 +2,9 @@
 
 A text becomes chunks, runs of the space mark followed by what stands before the next one; no piece of
 the vocabulary crosses a chunk's border.  Inside a chunk an agenda holds the candidate merges by score.
-A candidate is skipped when a keyed hash of (seed, draw, chunk, span) falls below the dropout rate, so
-a run is repeatable and one chunk has up to `draws` different segmentations, dealt to its occurrences by
-document and place.
+A candidate is skipped when a keyed hash of (seed, document, copy, place, span) falls below the dropout
+rate, so a run is repeatable and every occurrence of a chunk has a segmentation of its own.  Occurrences in
+which the same spans are skipped have the same one, and a batch works it out once.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .common import bytes_of, documents, map_rows
 
@@ -27,6 +28,8 @@ LITERAL_MARK = "\udfff"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 #: Longer chunks use the heap; a matrix of them would be rewritten once a merge.
 LONGEST_ROW = 48
+#: Occurrences whose skipped spans are worked out at once.
+_OCCURRENCES = 1 << 16
 _NEVER = np.int32(2**31 - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -85,6 +88,9 @@ class Vocabulary:
         self.piece_lengths = np.array([len(t) for t in texts], np.int64)
         self.piece_starts = np.concatenate(([0], np.cumsum(self.piece_lengths)[:-1]))
         self.symbols: dict[str, int] = {}
+        made = set(pairs.values())
+        self.made = {p for p, i in self.ids.items() if i in made}
+        self.longest = max(map(len, self.made), default=0)
 
     def symbol(self, ch: str) -> int:
         """The id of a character, or for one outside the vocabulary a negative code of its code point."""
@@ -264,8 +270,54 @@ def chunks_of(text: str) -> list[str]:
     return _CHUNK.findall(MARK + text.replace(MARK, LITERAL_MARK).replace(" ", MARK))
 
 
-def encode_batch(texts: list[str], doc_keys: np.ndarray, vocab: Vocabulary, dropout: float, seed: int, draws: int) -> tuple[np.ndarray, np.ndarray]:
-    """(flat ids, ids per text).  Each different (chunk, draw) of the batch is segmented once."""
+def spans_of(chunk: str, vocab: Vocabulary) -> list[int]:
+    """start << 8 | end of every span that a merge can make."""
+    n = len(chunk)
+    return [i << 8 | j for i in range(n - 1) for j in range(i + 2, min(n, i + vocab.longest) + 1) if chunk[i:j] in vocab.made]
+
+
+def _same_draws(names: list[str], at: np.ndarray, keys: np.ndarray, vocab: Vocabulary, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """(an occurrence of each different outcome, the outcome of each occurrence): the outcome of names[at]
+    follows from which of its spans are skipped.  Chunks of over 64 spans have an outcome per occurrence."""
+    spans = [spans_of(c, vocab) if len(c) <= LONGEST_ROW else [] for c in names]
+    count = np.fromiter(map(len, spans), np.int64, len(spans))
+    alone = (count > 64) | (np.fromiter(map(len, names), np.int64, len(names)) > LONGEST_ROW)
+    flat = np.fromiter((x for s in spans for x in s), np.int64, int(count.sum()))
+    first = np.cumsum(count) - count
+    count[alone] = 0
+    mask = np.zeros(len(at), np.uint64)
+    limit = _limit(dropout)
+    for lo in range(0, len(at), _OCCURRENCES):
+        own, key = at[lo : lo + _OCCURRENCES], keys[lo : lo + _OCCURRENCES]
+        c = count[own]
+        some = np.flatnonzero(c)
+        if len(some):
+            c = c[some]
+            begin = np.cumsum(c) - c
+            bit = np.arange(int(c.sum())) - np.repeat(begin, c)
+            x = flat[np.repeat(first[own[some]], c) + bit]
+            skipped = _dropped(np.repeat(key[some], c), x >> 8, x & 255, limit)
+            mask[lo + some] = np.bitwise_or.reduceat(skipped.astype(np.uint64) << bit.astype(np.uint64), begin)
+    lone = np.flatnonzero(alone[at])
+    mask[lone] = np.arange(len(lone), dtype=np.uint64)
+    order = np.lexsort((mask, at))
+    new = np.ones(len(at), bool)
+    new[1:] = (at[order][1:] != at[order][:-1]) | (mask[order][1:] != mask[order][:-1])
+    which = np.empty(len(at), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def occurrence_keys(doc_keys: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(_mix(doc_keys + np.uint64(seed & (2**64 - 1)) * _M1) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def encode_batch(texts: list[str], doc_keys: np.ndarray, vocab: Vocabulary, dropout: float, seed: int, draws: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, ids per text).  Each different outcome of a chunk is segmented once in the batch.
+
+    draws caps the segmentations of a chunk; 0 gives every occurrence its own draw.
+    """
     known: dict[str, int] = {}
     words, sizes = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
@@ -277,23 +329,18 @@ def encode_batch(texts: list[str], doc_keys: np.ndarray, vocab: Vocabulary, drop
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     names = list(known)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    if dropout > 0 and draws > 1:
-        with np.errstate(over="ignore"):
-            draw = (_mix(doc_keys[owner] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & (2**64 - 1))) % np.uint64(draws)).astype(np.int64)
+    keys = np.zeros(len(at), np.uint64)
+    if dropout > 0:
+        keys = occurrence_keys(doc_keys[owner], np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes), seed)
+        if draws:
+            base = np.fromiter((xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), seed & (2**64 - 1)) for c in names), np.uint64, len(names))
+            with np.errstate(over="ignore"):
+                keys = base[at] + keys % np.uint64(draws) * np.uint64(0x9E3779B97F4A7C15)
+        chosen, which = _same_draws(names, at, keys, vocab, dropout)
     else:
-        draw, draws = np.zeros(len(at), np.int64), 1
-    slot = at * draws + draw
-    used = np.zeros(len(names) * draws, bool)
-    used[slot] = True
-    need = np.flatnonzero(used)
-    number = np.cumsum(used) - 1
-    base = np.fromiter((xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), seed & (2**64 - 1)) for c in names), np.uint64, len(names))
-    with np.errstate(over="ignore"):
-        keys = base[need // draws] + (need % draws).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    pool, lengths = segment([names[i] for i in (need // draws).tolist()], keys, vocab, dropout)
+        chosen, which = np.unique(at, return_index=True)[1], at
+    pool, lengths = segment([names[i] for i in at[chosen].tolist()], keys[chosen], vocab, dropout)
     starts = np.cumsum(lengths) - lengths
-    which = number[slot]
     flat = _gather(pool, starts[which], lengths[which])
     return flat, np.bincount(owner, weights=lengths[which], minlength=len(texts)).astype(np.int64)
 
@@ -314,26 +361,34 @@ def _shared_vocabulary(proto: bytes, cache: dict = {}) -> Vocabulary:  # noqa: B
     return cache[key]
 
 
-def encode(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 7, draws: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 7, draws: int = 0, copies: bool = False) -> DataFrame:
     """(doc_id, n_pieces, ids, lossless): a segmentation of every whole text, decoded again and compared.
 
     Null and empty texts have no ids and are lossless.  Repeated rows with one doc_id and text get the
-    same ids; a null doc_id counts as 0 in the draw.  The model file is read on the driver and sent.
+    same ids, unless `copies` numbers the rows of a doc_id and draws by that number too, which shuffles the
+    texts; a null doc_id counts as 0 in the draw.  The model file is read on the driver and sent.
     """
     with open(model, "rb") as f:
         proto = docs.sparkSession.sparkContext.broadcast(f.read())
+    if copies:
+        rows = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
+        docs = docs.select("doc_id", "text").withColumn("copy", F.row_number().over(rows).cast("long") - 1)
+    else:
+        docs = docs.select("doc_id", F.lit(0).cast("long").alias("copy"), "text")
 
     def kernel(batch: pa.RecordBatch) -> dict:
         vocab = _shared_vocabulary(proto.value)
         raw = bytes_of(batch)
         keys = np.array([x or 0 for x in batch.column(0).to_pylist()], np.int64).view(np.uint64)
+        with np.errstate(over="ignore"):
+            keys = keys + _mix(batch.column(1).to_numpy().astype(np.uint64))
         flat, counts = encode_batch([b.decode() for b in raw], keys, vocab, dropout, seed, draws)
         back = decode_batch(flat, counts, vocab)
         offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
         return {"doc_id": batch.column(0), "n_pieces": counts, "ids": ids, "lossless": [a == b for a, b in zip(raw, back)]}
 
-    return map_rows(docs, ["doc_id", "text"], kernel, "doc_id long, n_pieces long, ids array<int>, lossless boolean")
+    return map_rows(docs, ["doc_id", "copy", "text"], kernel, "doc_id long, n_pieces long, ids array<int>, lossless boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

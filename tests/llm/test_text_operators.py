@@ -97,6 +97,25 @@ def test_dropout_varies_and_repeats(spark, odd, empty):
     assert subword.encode(empty).count() == 0
 
 
+def test_every_occurrence_draws(spark, vocab, small):
+    d = docs_of(spark, ["international representation " * 400])
+    many = np.array(by_id(subword.encode(d))[0].ids)
+    word = np.cumsum([int(b" " in bytes(vocab.piece_bytes[vocab.piece_starts[i] :][: vocab.piece_lengths[i]])) for i in many])
+    forms = {tuple(many[word == w].tolist()) for w in np.unique(word)}
+    assert len(forms) > 8  # two words, four draws
+    a, b = (r.ids for r in subword.encode(d.unionAll(d), copies=True).collect())
+    assert a != b
+    texts = [t for _, t in small[1]][:40]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    flat, n = subword.encode_batch(texts, keys, vocab, 0.3, 5)
+    ends = np.concatenate(([0], np.cumsum(n)))
+    for i, t in enumerate(texts):
+        own = subword.chunks_of(t)
+        k = subword.occurrence_keys(np.full(len(own), i, np.uint64), np.arange(len(own)), 5)
+        slow = [y for c, key in zip(own, k.tolist()) for x in subword.agenda(c, vocab, key, 0.3) for y in (vocab.fallback(x) if x < 0 else [x])]
+        assert slow == flat[ends[i] : ends[i + 1]].tolist()
+
+
 # ---- 2: secrets -----------------------------------------------------------------------------------------
 
 
