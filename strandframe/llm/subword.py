@@ -29,7 +29,9 @@ _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 #: Longer chunks use the heap; a matrix of them would be rewritten once a merge.
 LONGEST_ROW = 48
 #: Occurrences whose skipped spans are worked out at once.
-_OCCURRENCES = 1 << 16
+_OCCURRENCES = 1 << 15
+#: Chunks that are segmented at once.
+_SEGMENTED = 1 << 15
 _NEVER = np.int32(2**31 - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -339,7 +341,9 @@ def encode_batch(texts: list[str], doc_keys: np.ndarray, vocab: Vocabulary, drop
         chosen, which = _same_draws(names, at, keys, vocab, dropout)
     else:
         chosen, which = np.unique(at, return_index=True)[1], at
-    pool, lengths = segment([names[i] for i in at[chosen].tolist()], keys[chosen], vocab, dropout)
+    parts = [chosen[i : i + _SEGMENTED] for i in range(0, len(chosen), _SEGMENTED)]
+    done = [segment([names[i] for i in at[x].tolist()], keys[x], vocab, dropout) for x in parts]
+    pool, lengths = (np.concatenate(x) for x in zip(*done))
     starts = np.cumsum(lengths) - lengths
     flat = _gather(pool, starts[which], lengths[which])
     return flat, np.bincount(owner, weights=lengths[which], minlength=len(texts)).astype(np.int64)
