@@ -3,8 +3,8 @@
 A text becomes chunks, runs of the space mark followed by what stands before the next one; no piece of
 the vocabulary crosses a chunk's border.  Inside a chunk an agenda holds the candidate merges by score.
 A candidate is skipped when a keyed hash of (seed, document, copy, place, span) falls below the dropout
-rate, so a run is repeatable and every occurrence of a chunk has a segmentation of its own.  Occurrences in
-which the same spans are skipped have the same one, and a batch works it out once.
+rate, so a run is repeatable and every occurrence of a chunk has a segmentation of its own.  Chunks
+of one length go through their agendas side by side.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ MARK = "▁"
 #: Stands for a mark in the text itself: no valid text holds a lone surrogate.
 LITERAL_MARK = "\udfff"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
-#: Longer chunks use the heap; a matrix of them would be rewritten once a merge.
+#: Longer chunks use the heap; places in a block's numbers have six bits.
 LONGEST_ROW = 48
-#: Occurrences whose skipped spans are worked out at once.
-_OCCURRENCES = 1 << 15
-#: Chunks that are segmented at once.
-_SEGMENTED = 1 << 15
-_NEVER = np.int32(2**31 - 1)
+#: Chunks of one length that are segmented together, and characters that are collected before that.
+_COLUMNS, _WAITING = 1 << 12, 1 << 20
+_NEVER, _GONE = np.int32(2**31 - 1), np.int32(-(2**31))
+_ALL = 2**64 - 1
+_ODD = 0x9E3779B1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -83,16 +83,38 @@ class Vocabulary:
                 a, b = self.ids.get(piece[:k]), self.ids.get(piece[k:])
                 if a is not None and b is not None:
                     pairs[(a << 32) | b] = i
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int32)
         self.pair_map = pairs
         self.piece_bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.piece_lengths = np.array([len(t) for t in texts], np.int64)
         self.piece_starts = np.concatenate(([0], np.cumsum(self.piece_lengths)[:-1]))
-        self.symbols: dict[str, int] = {}
-        made = set(pairs.values())
-        self.made = {p for p, i in self.ids.items() if i in made}
-        self.longest = max(map(len, self.made), default=0)
+        self.symbol_of = -np.arange(0x110000, dtype=np.int32) - 1
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = i
+        self.mark = int(self.symbol_of[ord(MARK)])
+        self._place_pairs()
+
+    def _place_pairs(self) -> None:
+        """Pairs in one table: that of (a, b) is at a * odd + shift[b], where no other pair's place is.  An odd
+        factor keeps the places of one b apart, so a shift is tried until they are free."""
+        by_right: dict[int, list[int]] = {}
+        for key in self.pair_map:
+            by_right.setdefault(key & 0xFFFFFFFF, []).append(key >> 32)
+        bits = max(10, (8 * len(self.pair_map) + self.size).bit_length())
+        self.mask = (1 << bits) - 1
+        self.shift = np.zeros(self.size + 1, np.int64)
+        self.right = np.full(1 << bits, -1, np.int32)
+        self.makes = np.full(1 << bits, -1, np.int32)
+        draw = np.random.default_rng(1)
+        for b, lefts in sorted(by_right.items(), key=lambda x: (-len(x[1]), x[0])):
+            left = np.array(lefts, np.int64) * _ODD
+            while True:
+                shift = int(draw.integers(1 << bits))
+                at = (left + shift) & self.mask
+                if (self.right[at] < 0).all():
+                    break
+            self.shift[b], self.right[at] = shift, b
+            self.makes[at] = [self.pair_map[a << 32 | b] for a in lefts]
 
     def symbol(self, ch: str) -> int:
         """The id of a character, or for one outside the vocabulary a negative code of its code point."""
@@ -102,12 +124,14 @@ class Vocabulary:
         ch = chr(-code - 1)
         return self.byte_ids[np.frombuffer((MARK if ch == LITERAL_MARK else ch).encode(), np.uint8)].tolist()
 
+    def symbols_of(self, text: str) -> np.ndarray:
+        return self.symbol_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ids of the pieces that pairs make, -1 where they make none."""
-        key = (a.astype(np.int64) << 32) | b.astype(np.int64)
-        at = np.searchsorted(self.pair_keys, key)
-        at[at == len(self.pair_keys)] = 0
-        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ids[at], -1)
+        b = np.where(b < 0, self.size, b)
+        at = (np.where(a < 0, self.size, a).astype(np.int64) * _ODD + self.shift[b]) & self.mask
+        return np.where(self.right[at] == b, self.makes[at], np.int32(-1))
 
 
 def chunk_key(chunk: str, seed: int, draw: int) -> int:
@@ -119,27 +143,35 @@ def _dropped(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: np.u
         return _mix(keys + starts.astype(np.uint64) * np.uint64(0x100000001B3) + (ends.astype(np.uint64) << np.uint64(40))) < limit
 
 
+def _is_dropped(key: int, start: int, end: int, limit: int) -> bool:
+    """_dropped() of one span, in plain integers."""
+    x = (key + start * 0x100000001B3 + (end << 40)) & _ALL
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return (x ^ (x >> 31)) < limit
+
+
 def _limit(dropout: float) -> np.uint64:
     return np.uint64(min(2**64 - 1, int(dropout * 2**64)))
 
 
-def agenda(chunk: str, vocab: Vocabulary, key: int, dropout: float) -> list[int]:
-    """Symbols of one chunk: the candidates leave a heap by rank and place, skipped ones for good."""
-    ids = [vocab.symbol(c) for c in chunk]
+def agenda(chunk: str | list[int], vocab: Vocabulary, key: int, dropout: float) -> list[int]:
+    """Symbols of one chunk, which may be given as such: the candidates leave a heap by rank and place, skipped ones for good."""
+    ids = [vocab.symbol(c) for c in chunk] if isinstance(chunk, str) else chunk
     n = len(ids)
     right = list(range(1, n)) + [-1]
     left = list(range(-1, n - 1))
     end = list(range(1, n + 1))
-    limit, keys = _limit(dropout), np.array([key], np.uint64)
+    limit, ranks, pairs = int(_limit(dropout)), vocab.rank, vocab.pair_map
     heap: list[tuple[int, int, int, int, int]] = []
 
     def offer(i: int) -> None:
         j = right[i]
         if j < 0 or ids[i] < 0 or ids[j] < 0:
             return
-        made = vocab.pair_map.get((ids[i] << 32) | ids[j])
-        if made is not None and not (limit and _dropped(keys, np.array([i]), np.array([end[j]]), limit)[0]):
-            heapq.heappush(heap, (int(vocab.rank[made]), i, made, ids[i], end[j]))
+        made = pairs.get((ids[i] << 32) | ids[j])
+        if made is not None:
+            heapq.heappush(heap, (int(ranks[made]), i, made, ids[i], end[j]))
 
     for i in range(n - 1):
         offer(i)
@@ -147,7 +179,9 @@ def agenda(chunk: str, vocab: Vocabulary, key: int, dropout: float) -> list[int]
     while heap:
         _, i, made, was, stop = heapq.heappop(heap)
         j = right[i] if alive[i] else -1
-        if j < 0 or ids[i] != was or end[j] != stop or vocab.pair_map.get((ids[i] << 32) | ids[j]) != made:
+        if j < 0 or ids[i] != was or end[j] != stop or pairs.get((ids[i] << 32) | ids[j]) != made:
+            continue
+        if limit and _is_dropped(key, i, stop, limit):
             continue
         ids[i], end[i], alive[j] = made, end[j], False
         right[i] = right[j]
@@ -159,101 +193,94 @@ def agenda(chunk: str, vocab: Vocabulary, key: int, dropout: float) -> list[int]
     return [ids[i] for i in range(n) if alive[i]]
 
 
-def _rows(codes: np.ndarray, keys: np.ndarray, vocab: Vocabulary, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """agenda() for many chunks of one length at once: (symbols, how many are left), row by row."""
-    n, width = codes.shape
-    m = codes.copy()
-    left = np.full(n, width, np.int64)
-    if width == 1:
-        return m, left
-    starts = np.broadcast_to(np.arange(width + 1, dtype=np.int32), (n, width + 1)).copy()
-    limit = _limit(dropout)
-
-    def ranks(rows, at, sym, st):
-        """Ranks of the pairs (at, at+1) and the ids that they make."""
-        a, b = sym[rows, at], sym[rows, at + 1]
-        made = vocab.merged(a, b)
-        ok = made >= 0
+def _block(sym: np.ndarray, keys: np.ndarray, vocab: Vocabulary, limit: np.uint64) -> np.ndarray:
+    """agenda() for a block of chunks of one length, a column each: symbols as they are left, -2**31 where merged.
+
+    A symbol stands at its first place; behind[c] is the place of the next one, so a pair's span is known.
+    Every turn takes each column's best candidate and merges it or, if its draw says so, skips it."""
+    width, n = sym.shape
+    behind = np.repeat(np.arange(1, width + 3, dtype=np.int64), n).reshape(width + 2, n)
+    before = np.repeat(np.arange(-1, width + 1, dtype=np.int64), n).reshape(width + 2, n)
+    made = np.full((width, n), -1, np.int32)
+    order = np.full((width, n), _NEVER, np.int32)  # rank and place in one number, so ties go to the left
+    made[:-1] = vocab.merged(sym[:-1], sym[1:])
+    order[:-1] = np.where(made[:-1] >= 0, vocab.rank[made[:-1]] * np.int32(64) + np.arange(width - 1, dtype=np.int32)[:, None], _NEVER)
+    flat_sym, flat_made, flat_order, next_of, last_of = sym.ravel(), made.ravel(), order.ravel(), behind.ravel(), before.ravel()
+    while True:
+        best = order.min(axis=0)
+        col = np.flatnonzero(best != _NEVER)
+        if not len(col):
+            return sym
+        place = (best[col] & 63).astype(np.int64)
+        here = place * n + col
+        mid = next_of[here]
+        end = next_of[mid * n + col]
         if limit:
-            ok &= ~_dropped(keys[rows], st[rows, at], st[rows, at + 2], limit)
-        return np.where(ok, vocab.rank[np.maximum(made, 0)], _NEVER), made
-
-    every = np.repeat(np.arange(n), width - 1)
-    place = np.tile(np.arange(width - 1), n)
-    r, made = ranks(every, place, m, starts)
-    rank, into = r.reshape(n, width - 1), made.reshape(n, width - 1)
-    live = np.arange(n)
-    done_m, done_left = m.copy(), left.copy()
-    cols = np.arange(width)
-    while len(live):
-        j = rank.argmin(axis=1)
-        here = np.arange(len(live))
-        go = rank[here, j] < _NEVER
-        if not go.all():
-            stop = ~go
-            done_m[live[stop]] = m[stop]
-            done_left[live[stop]] = left[stop]
-            live, m, left, starts, rank, into, keys, j = live[go], m[go], left[go], starts[go], rank[go], into[go], keys[go], j[go]
-            if not len(live):
-                break
-            here = np.arange(len(live))
-        m[here, j] = into[here, j]
-        shift = np.minimum(cols[None, :] + (cols[None, :] > j[:, None]), width - 1)
-        m = np.take_along_axis(m, shift, 1)
-        sshift = np.minimum(np.arange(width + 1)[None, :] + (np.arange(width + 1)[None, :] > j[:, None]), width)
-        starts = np.take_along_axis(starts, sshift, 1)
-        left -= 1
-        pshift = np.minimum(np.arange(width - 1)[None, :] + (np.arange(width - 1)[None, :] > j[:, None]), width - 2)
-        rank, into = np.take_along_axis(rank, pshift, 1), np.take_along_axis(into, pshift, 1)
-        rank[np.arange(width - 1)[None, :] >= (left - 1)[:, None]] = _NEVER
-        for at, has in ((j - 1, j > 0), (j, j < left - 1)):
-            rows = np.flatnonzero(has)
-            if len(rows):
-                rank[rows, at[rows]], into[rows, at[rows]] = ranks(rows, at[rows], m, starts)
-    return done_m, done_left
+            skip = _dropped(keys[col], place, end, limit)
+            flat_order[here[skip]] = _NEVER
+            go = ~skip
+            col, place, here, mid, end = col[go], place[go], here[go], mid[go], end[go]
+        gone = mid * n + col
+        flat_sym[here] = flat_made[here]
+        flat_sym[gone], flat_order[gone] = _GONE, _NEVER
+        next_of[here] = end
+        last_of[end * n + col] = place
+        for at, right in ((place, end), (last_of[here], place)):
+            ok = np.flatnonzero((at >= 0) & (right < width))
+            x = at[ok] * n + col[ok]
+            new = vocab.merged(flat_sym[x], flat_sym[right[ok] * n + col[ok]])
+            flat_made[x] = new
+            flat_order[x] = np.where(new >= 0, vocab.rank[new] * np.int32(64) + at[ok].astype(np.int32), _NEVER)
+            flat_order[at[right >= width] * n + col[right >= width]] = _NEVER
+
+
+def _segment(codes: np.ndarray, start: np.ndarray, length: np.ndarray, keys: np.ndarray, vocab: Vocabulary, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, lengths) of chunks, given as ranges of codes, the symbols of characters.  What is outside the
+    vocabulary becomes byte pieces."""
+    limit = _limit(dropout)
+    count = np.ones(len(start), np.int64)
+    order, parts = [], []
+    by_length = np.argsort(length, kind="stable")
+    cuts = np.flatnonzero(np.diff(length[by_length])) + 1
+    for group in np.split(by_length, cuts) if len(by_length) else ():
+        width = int(length[group[0]])
+        for lo in range(0, len(group), _COLUMNS):
+            rows = group[lo : lo + _COLUMNS]
+            if width > LONGEST_ROW:
+                got = [np.array(agenda(codes[a : a + width].tolist(), vocab, k, dropout), np.int32) for a, k in zip(start[rows].tolist(), keys[rows].tolist())]
+                count[rows] = [len(x) for x in got]
+                parts += got
+            else:
+                sym = codes[start[rows][None, :] + np.arange(width)[:, None]]
+                if width > 1:
+                    sym = _block(sym, keys[rows], vocab, limit)
+                sym = sym.T
+                alive = sym != _GONE
+                count[rows] = alive.sum(axis=1)
+                parts.append(sym[alive])
+            order.append(rows)
+    if not order:
+        return np.zeros(0, np.int32), count
+    flat, at = np.concatenate(parts), np.concatenate(order)
+    begin = np.empty(len(at), np.int64)
+    begin[at] = np.cumsum(count[at]) - count[at]
+    flat = _gather(flat, begin, count)
+    odd = flat < 0
+    if odd.any():
+        kinds, which = np.unique(flat[odd], return_inverse=True)
+        spelled = [vocab.fallback(c) for c in kinds.tolist()]
+        long = np.array([len(x) for x in spelled], np.int64)
+        first, size = flat.astype(np.int64), np.ones(len(flat), np.int64)
+        first[odd], size[odd] = (vocab.size + np.cumsum(long) - long)[which], long[which]
+        count = np.add.reduceat(size, np.cumsum(count) - count)
+        flat = _gather(np.concatenate((np.arange(vocab.size, dtype=np.int32), np.array([y for x in spelled for y in x], np.int32))), first, size)
+    return flat, count
 
 
 def segment(chunks: list[str], keys: np.ndarray, vocab: Vocabulary, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """(flat ids, lengths) for (chunk, key) pairs; characters outside the vocabulary become byte pieces."""
-    lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    symbols = vocab.symbols
-    order, parts, counts = [], [], []
-    by_length = np.argsort(lengths, kind="stable")
-    cuts = np.flatnonzero(np.diff(lengths[by_length])) + 1
-    for rows in np.split(by_length, cuts):
-        if not len(rows):
-            continue
-        width = int(lengths[rows[0]])
-        if width > LONGEST_ROW:
-            for i in rows.tolist():
-                got = agenda(chunks[i], vocab, int(keys[i]), dropout)
-                order.append(np.array([i])), parts.append(np.array(got, np.int32)), counts.append(np.array([len(got)]))
-            continue
-        flat = "".join([chunks[i] for i in rows.tolist()])
-        for ch in set(flat) - symbols.keys():
-            symbols[ch] = vocab.symbol(ch)
-        codes = np.fromiter(map(symbols.__getitem__, flat), np.int32, len(flat)).reshape(len(rows), width)
-        m, left = _rows(codes, keys[rows], vocab, dropout)
-        order.append(rows), parts.append(m[np.arange(width)[None, :] < left[:, None]]), counts.append(left)
-    if not order:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    flat, count, at = np.concatenate(parts), np.concatenate(counts), np.concatenate(order)
-    if (flat < 0).any():
-        owner = np.repeat(np.arange(len(count)), count)
-        sizes = np.ones(len(flat), np.int64)
-        odd = np.flatnonzero(flat < 0)
-        spelled = {c: vocab.fallback(c) for c in np.unique(flat[odd]).tolist()}
-        sizes[odd] = [len(spelled[c]) for c in flat[odd].tolist()]
-        wide = np.repeat(flat, sizes)
-        first = np.cumsum(sizes) - sizes
-        for i in odd.tolist():
-            wide[first[i] : first[i] + sizes[i]] = spelled[int(flat[i])]
-        count = np.bincount(owner, weights=sizes, minlength=len(count)).astype(np.int64)
-        flat = wide
-    ends = np.cumsum(count)
-    inverse = np.empty(len(at), np.int64)
-    inverse[at] = np.arange(len(at))
-    return _gather(flat, (ends - count)[inverse], count[inverse]), count[inverse]
+    length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    return _segment(vocab.symbols_of("".join(chunks)), np.cumsum(length) - length, length, keys, vocab, dropout)
 
 
 def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -272,42 +299,19 @@ def chunks_of(text: str) -> list[str]:
     return _CHUNK.findall(MARK + text.replace(MARK, LITERAL_MARK).replace(" ", MARK))
 
 
-def spans_of(chunk: str, vocab: Vocabulary) -> list[int]:
-    """start << 8 | end of every span that a merge can make."""
-    n = len(chunk)
-    return [i << 8 | j for i in range(n - 1) for j in range(i + 2, min(n, i + vocab.longest) + 1) if chunk[i:j] in vocab.made]
-
-
-def _same_draws(names: list[str], at: np.ndarray, keys: np.ndarray, vocab: Vocabulary, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """(an occurrence of each different outcome, the outcome of each occurrence): the outcome of names[at]
-    follows from which of its spans are skipped.  Chunks of over 64 spans have an outcome per occurrence."""
-    spans = [spans_of(c, vocab) if len(c) <= LONGEST_ROW else [] for c in names]
-    count = np.fromiter(map(len, spans), np.int64, len(spans))
-    alone = (count > 64) | (np.fromiter(map(len, names), np.int64, len(names)) > LONGEST_ROW)
-    flat = np.fromiter((x for s in spans for x in s), np.int64, int(count.sum()))
-    first = np.cumsum(count) - count
-    count[alone] = 0
-    mask = np.zeros(len(at), np.uint64)
-    limit = _limit(dropout)
-    for lo in range(0, len(at), _OCCURRENCES):
-        own, key = at[lo : lo + _OCCURRENCES], keys[lo : lo + _OCCURRENCES]
-        c = count[own]
-        some = np.flatnonzero(c)
-        if len(some):
-            c = c[some]
-            begin = np.cumsum(c) - c
-            bit = np.arange(int(c.sum())) - np.repeat(begin, c)
-            x = flat[np.repeat(first[own[some]], c) + bit]
-            skipped = _dropped(np.repeat(key[some], c), x >> 8, x & 255, limit)
-            mask[lo + some] = np.bitwise_or.reduceat(skipped.astype(np.uint64) << bit.astype(np.uint64), begin)
-    lone = np.flatnonzero(alone[at])
-    mask[lone] = np.arange(len(lone), dtype=np.uint64)
-    order = np.lexsort((mask, at))
-    new = np.ones(len(at), bool)
-    new[1:] = (at[order][1:] != at[order][:-1]) | (mask[order][1:] != mask[order][:-1])
-    which = np.empty(len(at), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], which
+def parts_of(text: str, size: int = 1 << 19):
+    """A text in parts that have its chunks between them: a part ends before the space that begins a chunk."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(" ", at + size)
+        while end > 0 and text[end - 1] == " ":
+            end = text.find(" ", end + 1)
+        if end < 0 or end + 1 == len(text):
+            break
+        yield text[at:end]
+        at = end + 1  # encoding puts a mark before each part
+    if text:
+        yield text[at:]
 
 
 def occurrence_keys(doc_keys: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
@@ -316,37 +320,59 @@ def occurrence_keys(doc_keys: np.ndarray, place: np.ndarray, seed: int) -> np.nd
 
 
 def encode_batch(texts: list[str], doc_keys: np.ndarray, vocab: Vocabulary, dropout: float, seed: int, draws: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(flat ids, ids per text).  Each different outcome of a chunk is segmented once in the batch.
+    """(flat ids, ids per text).
 
     draws caps the segmentations of a chunk; 0 gives every occurrence its own draw.
     """
-    known: dict[str, int] = {}
-    words, sizes = [], np.zeros(len(texts), np.int64)
+    counts = np.zeros(len(texts), np.int64)
+    placed = np.zeros(len(texts), np.int64)  # chunks before the part
+    out = [np.zeros(0, np.int32)]
+    parts: list[str] = []
+    owners: list[int] = []
+
+    def flush() -> None:
+        text = " ".join(["", *parts])  # the space that encoding puts before each
+        codes = vocab.symbols_of(text.replace(MARK, LITERAL_MARK).replace(" ", MARK))
+        own = np.array(owners)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        begin = np.cumsum(sizes) - sizes
+        space = codes == vocab.mark
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        first[begin] = True
+        start = np.flatnonzero(first)
+        length = np.diff(np.append(start, len(codes)))
+        of = np.searchsorted(begin, start, side="right") - 1
+        number = np.bincount(of, minlength=len(parts))
+        keys = np.zeros(len(start), np.uint64)
+        if dropout > 0:
+            base = placed[own]
+            after = np.cumsum(number) - number
+            same = np.flatnonzero(np.diff(own) == 0) + 1  # a text's parts stand in a row
+            for k in same.tolist():
+                base[k] = base[k - 1] + number[k - 1]
+            keys = occurrence_keys(doc_keys[own[of]], np.arange(len(start)) - (after - base)[of], seed)
+            if draws:
+                chunk = [text[a:b].replace(" ", MARK) for a, b in zip(start.tolist(), (start + length).tolist())]
+                with np.errstate(over="ignore"):
+                    keys = np.array([chunk_key(c, seed, 0) for c in chunk], np.uint64) + keys % np.uint64(draws) * np.uint64(0x9E3779B97F4A7C15)
+        np.add.at(placed, own, number)
+        flat, lengths = _segment(codes, start, length, keys, vocab, dropout)
+        out.append(flat)
+        np.add.at(counts, own[of], lengths)
+        parts.clear(), owners.clear()
+
+    waiting = 0
     for i, text in enumerate(texts):
-        own = chunks_of(text)
-        sizes[i] = len(own)
-        words += [known.setdefault(c, len(known)) for c in own]
-    at = np.array(words, np.int64)
-    if not len(at):
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    names = list(known)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    keys = np.zeros(len(at), np.uint64)
-    if dropout > 0:
-        keys = occurrence_keys(doc_keys[owner], np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes), seed)
-        if draws:
-            base = np.fromiter((xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), seed & (2**64 - 1)) for c in names), np.uint64, len(names))
-            with np.errstate(over="ignore"):
-                keys = base[at] + keys % np.uint64(draws) * np.uint64(0x9E3779B97F4A7C15)
-        chosen, which = _same_draws(names, at, keys, vocab, dropout)
-    else:
-        chosen, which = np.unique(at, return_index=True)[1], at
-    parts = [chosen[i : i + _SEGMENTED] for i in range(0, len(chosen), _SEGMENTED)]
-    done = [segment([names[i] for i in at[x].tolist()], keys[x], vocab, dropout) for x in parts]
-    pool, lengths = (np.concatenate(x) for x in zip(*done))
-    starts = np.cumsum(lengths) - lengths
-    flat = _gather(pool, starts[which], lengths[which])
-    return flat, np.bincount(owner, weights=lengths[which], minlength=len(texts)).astype(np.int64)
+        for part in parts_of(text):
+            parts.append(part), owners.append(i)
+            waiting += len(part) + 1
+            if waiting >= _WAITING:
+                flush()
+                waiting = 0
+    if parts:
+        flush()
+    return np.concatenate(out), counts
 
 
 def decode_batch(flat: np.ndarray, counts: np.ndarray, vocab: Vocabulary) -> list[bytes]:
