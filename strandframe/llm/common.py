@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -40,11 +41,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Set here only where the session names none."""
+    """The folder that driver and executors share.  Without one a local master gets a temporary folder, as in
+    tests; on a cluster executors would not see the driver's folder, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -55,7 +59,16 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of written() that no plan reads any more; what came from them must be written itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -151,8 +164,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             .filter("u <> v")
             .distinct()
         )
-        e = written(small)
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)), F.coalesce(F.sum(F.col("v")), F.lit(0))).first())
+        before, e = e, written(small)
+        discard(before)
+        now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state:
             break
         state = now
