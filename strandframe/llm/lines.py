@@ -9,6 +9,7 @@ earlier line of the corpus matches it.  Lines of equal sets are one class before
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -226,75 +227,139 @@ def line_classes(docs: DataFrame, rarity: np.ndarray, t: float) -> DataFrame:
     return written(first.select("set_key", "x.*"))
 
 
-def _candidates(token, place, size, doc, line, b0, b1, t: float):
-    """Pairs (earlier, later) of index rows with one token that pass all filters, in bounded blocks."""
-    order = np.lexsort((size, token))
-    token, place, size, doc, line, b0, b1 = (x[order] for x in (token, place, size, doc, line, b0, b1))
-    n = len(token)
-    # within a token's rows by size, the partners of a row are those up to size / t
-    key = np.concatenate(([True], token[1:] != token[:-1]))
-    group = np.cumsum(key) - 1
-    span = int(size.max()) + 2 if n else 1
-    composite = group * span + size
-    stop = np.searchsorted(composite, group * span + np.minimum(np.floor(size / t + 1e-9).astype(np.int64), span - 1), side="right")
-    count = stop - np.arange(n) - 1
-    ends = np.cumsum(count)
-    at = 0
-    while at < n:
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + 150_000, side="right")))
-        c = count[at:to]
-        i = np.repeat(np.arange(at, to), c)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-        both = size[i] + size[j]
-        need = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
-        ok = 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1 >= need
-        i, j, need, both = i[ok], j[ok], need[ok], both[ok]
-        differ = np.bitwise_count(b0[i] ^ b0[j]).astype(np.int64) + np.bitwise_count(b1[i] ^ b1[j])
-        ok = differ <= both - 2 * need
-        i, j = i[ok], j[ok]
-        swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
-        yield order[np.where(swap, j, i)], order[np.where(swap, i, j)]
-        at = to
-
-
-_ROW = np.dtype([("token", "<u8"), ("key", "<i8"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("open", "u1")])
-#: A later line's candidates per reducer and round, and how much they grow by round.
+_ROW = np.dtype([("token", "<u8"), ("key", "<i8"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("part", "<u4"), ("open", "u1")])
+#: A later line's candidates per word and round, and how much they grow by round.
 FEW, GROWTH = 64, 8
-#: Candidate pairs that a reducer adds at least before it thins all to the earliest few of each line.
+#: Candidate pairs that a reducer looks at or holds at a time, about.
 _KEEP = 300_000
 
 
-def _thin(early: np.ndarray, late: np.ndarray, rows: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The `few` earliest different candidates of each later class, in order; and the classes that had more."""
-    key, other = rows["key"][late], rows["key"][early]
-    order = np.lexsort((other, rows["line"][early], rows["doc"][early], key))
-    early, late, key, other = early[order], late[order], key[order], other[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
-    early, late, key = early[new], late[new], key[new]
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(at, len(key)))
-    nth = np.arange(len(key)) - np.repeat(at, count)
-    return early[nth < few], late[nth < few], key[at][count > few]
+def _bands(size: np.ndarray, t: float) -> np.ndarray:
+    """Sets whose sizes' ratio is t or more are in the same band or in neighbours."""
+    return np.floor(np.log(size) / -math.log(t) * (1 - 1e-9)).astype(np.int64) if t < 1 else size.astype(np.int64) * 2
+
+
+def earlier_few(rows: np.ndarray, t: float, few: int):
+    """For each open row, in blocks: (row, an earlier row of its word that passes all filters), and (row, whether
+    it has more than are given).  A row gets its earliest `few` at least, if it has as many.
+
+    A word's rows stand in size bands, and by document and line within a band.  A row looks at its own and the
+    two next bands from the earliest row on, in windows that grow, until it has enough; so a group of near
+    copies costs in proportion to its size, and no more than _KEEP pairs are held at a time or a row's own."""
+    n = len(rows)
+    if n < 2:
+        return
+    band = _bands(rows["size"], t)
+    place_in_corpus = np.empty(n, np.int64)
+    by_place = np.lexsort((rows["line"], rows["doc"]))
+    place_in_corpus[by_place] = np.cumsum(np.concatenate(([0], (rows["doc"][by_place][1:] != rows["doc"][by_place][:-1]) | (rows["line"][by_place][1:] != rows["line"][by_place][:-1]))))
+    order = np.lexsort((place_in_corpus, band, rows["token"]))
+    r = rows[order]
+    token, band, when = r["token"], band[order], place_in_corpus[order]
+    size, left = r["size"].astype(np.int64), (r["size"] - r["place"]).astype(np.int64)
+    b0, b1, part = (np.ascontiguousarray(r[c]) for c in ("b0", "b1", "part"))
+    across = len(np.unique(part)) > 1  # a bucket of two parts of a word: pairs within a part are in another bucket
+    new = np.ones(n, bool)
+    new[1:] = (token[1:] != token[:-1]) | (band[1:] != band[:-1])
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    line = group * (n + 1) + when
+    late = np.flatnonzero(r["open"] == 1)
+    step = max(1, _KEEP // few)
+    for lo in range(0, len(late), step):
+        own = late[lo : lo + step]
+        early_rows, late_rows, unfinished = [], [], np.zeros(len(own), bool)
+        for shift in (-1, 0, 1):
+            target = group[own] + shift
+            inside = np.clip(target, 0, len(first) - 1)
+            ok = (target == inside) & (token[first[inside]] == token[own]) & (band[first[inside]] == band[own] + shift)
+            at = first[inside]
+            stop = np.where(ok, np.searchsorted(line, inside * (n + 1) + when[own]), at)
+            have = np.zeros(len(own), np.int64)
+            window = 2 * few
+            while True:
+                active = np.flatnonzero((at < stop) & (have < few))
+                if not len(active):
+                    break
+                take = np.minimum(stop[active] - at[active], window)
+                ends = np.cumsum(take)
+                k = 0
+                while k < len(active):
+                    base = int(ends[k - 1]) if k else 0
+                    to = max(k + 1, int(np.searchsorted(ends, base + _KEEP, side="right")))
+                    c = take[k:to]
+                    who = np.repeat(active[k:to], c)
+                    i = own[who]
+                    j = np.repeat(at[active[k:to]] - np.cumsum(c) + c, c) + np.arange(len(who))
+                    both = size[i] + size[j]
+                    need = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
+                    use = np.minimum(left[i], left[j]) >= need
+                    use &= np.minimum(size[i], size[j]) >= need
+                    if across:
+                        use &= part[i] != part[j]
+                    use = np.flatnonzero(use)
+                    i, j, who = i[use], j[use], who[use]
+                    differ = np.bitwise_count(b0[i] ^ b0[j]).astype(np.int64) + np.bitwise_count(b1[i] ^ b1[j])
+                    use = differ <= (both - 2 * need)[use]
+                    late_rows.append(who[use]), early_rows.append(j[use])
+                    have += np.bincount(who[use], minlength=len(own))
+                    k = to
+                at[active] += take
+                window *= 4
+            unfinished |= at < stop
+        who, early = np.concatenate(late_rows or [np.zeros(0, np.int64)]), np.concatenate(early_rows or [np.zeros(0, np.int64)])
+        sort = np.lexsort((when[early], who))
+        who, early = who[sort], early[sort]
+        begin = np.searchsorted(who, np.arange(len(own)))
+        many = np.bincount(who, minlength=len(own))
+        keep = np.arange(len(who)) - begin[who] < few
+        yield order[early[keep]], order[own[who[keep]]], order[own[unfinished | (many > few)]]
+
+
+def prefix_counts(classes: DataFrame, wanted) -> np.ndarray:
+    """How many index rows each counter's words have."""
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        token = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+        only = wanted.value[1]
+        if only is not None:
+            token = token[only[_flag(token)]]
+        return {"part": list(range(16)), "counts": table_parts(np.bincount(_counter(token), minlength=COUNTERS))}
+
+    return summed_table(map_rows(classes, ["prefix"], kernel, "part int, counts binary"))
+
+
+def least_size(t: float) -> int:
+    """Smaller sets are t alike to no different set: one word more is the nearest that there is."""
+    n = 1
+    while n < t * (n + 1) - 1e-9:
+        n += 1
+    return n
 
 
 def candidate_lists(classes: DataFrame, t: float, few: int, is_open: np.ndarray | None = None) -> DataFrame:
-    """(later, first_key, rest, more) for the open classes that have earlier candidates; None: all are open.
+    """(later, doc, line, first_key, keys, more), a row per open class and word of its prefix that earlier candidates
+    share; None: all are open.
 
-    Each reducer gives a later class its `few` earliest candidates; first_key is the earliest of all, rest
-    the others, and more says that a reducer had others still.  So a group of near copies, in which all
-    are candidates of all, makes rows in proportion to its size."""
+    keys are the earliest `few` of them, first_key the first, which stands at doc and line; more says that there
+    are others.  So a group of near copies, in which all are candidates of all, makes rows in proportion to its
+    size.  A word of more rows than a bucket holds has its rows cut into parts, and a bucket for each two parts.
+    """
+    spark = classes.sparkSession
     only = None if is_open is None else words_of_open(classes, is_open)
-    tables = classes.sparkSession.sparkContext.broadcast((is_open, only))
-    n_rows = classes.agg(F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0)).cast("long")).first()[0]
-    buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
+    tables = spark.sparkContext.broadcast((is_open, only))
+    count = prefix_counts(classes, tables)
+    buckets = max(1, math.ceil(int(count.sum()) / BUCKET_ROWS))
+    parts = np.where(count > BUCKET_ROWS, -(-2 * count // BUCKET_ROWS), 1)
+    own_buckets = np.where(parts > 1, parts * (parts + 1) // 2, 0)
+    dealt = spark.sparkContext.broadcast((parts, buckets + np.cumsum(own_buckets) - own_buckets))
 
     def pack(batches):
         give_back()
         for batch in batches:
             key, doc, line, size, b0, b1 = (batch.column(i).to_numpy() for i in range(6))
             opened, wanted = tables.value
+            parts, base = dealt.value
             prefix = batch.column(6).to_pylist()
             p = np.fromiter(map(len, prefix), np.int64, len(prefix)) // 8
             row = np.repeat(np.arange(len(p)), p)
@@ -306,41 +371,37 @@ def candidate_lists(classes: DataFrame, t: float, few: int, is_open: np.ndarray
             if wanted is not None:
                 out = out[wanted[_flag(np.ascontiguousarray(out["token"]))]]
             bucket = (mix(out["token"]) % np.uint64(buckets)).astype(np.int64)
+            counter = _counter(out["token"])
+            cut = parts[counter]
+            if (cut > 1).any():
+                out["part"] = mix(out["key"].view(np.uint64)) % cut.astype(np.uint64)
+                again = np.repeat(np.arange(len(out)), cut)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(cut) - cut, cut)
+                mine = out["part"][again].astype(np.int64)
+                high, low = np.maximum(mine, other), np.minimum(mine, other)
+                bucket = np.where(cut[again] > 1, base[counter[again]] + high * (high + 1) // 2 + low, bucket[again])
+                out = out[again]
             order = np.argsort(bucket, kind="stable")
             bucket, out = bucket[order], out[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             ids = bucket[np.concatenate(([0], cuts))] if len(bucket) else []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in np.split(out, cuts)] if len(bucket) else [], pa.binary())], names=["bucket", "rows"])
 
-    def join(table: pa.Table) -> pa.Table:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), _ROW)
-        early, late, more = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        kept, room = 0, _KEEP
-        for a, b in _candidates(*(np.ascontiguousarray(rows[c]) for c in ("token", "place", "size", "doc", "line", "b0", "b1")), t):
-            use = rows["open"][b] == 1
-            early.append(a[use].astype(np.int32)), late.append(b[use].astype(np.int32))
-            kept += int(use.sum())
-            if kept > room:
-                x, y, z = _thin(np.concatenate(early), np.concatenate(late), rows, few)
-                early, late, kept, room = [x.astype(np.int32)], [y.astype(np.int32)], 0, max(_KEEP, len(x))
-                more.append(z)
-        a, b, z = _thin(np.concatenate(early), np.concatenate(late), rows, few)
-        had_more = np.unique(np.concatenate([*more, z]))
-        key, other = rows["key"][b], rows["key"][a]
-        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(key)) if len(at) else at
-        lists = [other[s:e] for s, e in zip(at.tolist(), ends.tolist())]
-        return pa.Table.from_arrays(
-            [pa.array(key[at], pa.int64()), pa.array(rows["doc"][a][at], pa.int64()), pa.array(rows["line"][a][at], pa.int32()), pa.array(other[at], pa.int64()),
-             pa.array(lists, pa.list_(pa.int64())), pa.array(np.isin(key[at], had_more), pa.bool_())],
-            names=["later", "doc", "line", "first_key", "keys", "more"],
-        )
+        rows = np.concatenate([np.frombuffer(x.as_buffer(), _ROW) for b in batches for x in b.column(b.schema.get_field_index("rows"))])
+        for a, b, more in earlier_few(rows, t, few):
+            at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+            first, own = a[at], b[at]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(b)), pa.int32()), pa.array(rows["key"][a], pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows["key"][own], pa.int64()), pa.array(rows["doc"][first], pa.int64()), pa.array(rows["line"][first], pa.int32()), pa.array(rows["key"][first], pa.int64()),
+                 lists, pa.array(np.isin(own, more), pa.bool_())],
+                names=["later", "doc", "line", "first_key", "keys", "more"],
+            )
 
     index = classes.select("set_key", "doc", "line", "n", "b0", "b1", "prefix").mapInArrow(pack, "bucket long, rows binary")
-    found = index.groupBy("bucket").applyInArrow(join, "later long, doc long, line int, first_key long, keys array<long>, more boolean")
-    g = found.groupBy("later").agg(F.min(F.struct("doc", "line", "first_key")).getField("first_key").alias("first_key"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.bool_or("more").alias("more"))
-    return written(g.select("later", "first_key", F.filter("keys", lambda k: k != F.col("first_key")).alias("rest"), "more"))
+    return written(index.groupBy("bucket").applyInArrow(join, "later long, doc long, line int, first_key long, keys array<long>, more boolean"))
 
 
 def _documents_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -405,6 +466,7 @@ def matched_classes(docs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
     then against its few others.  Only classes that are still open and had more candidates go into another
     round with more of them each, until none is left.
     """
+    classes = classes.filter(F.col("n") >= least_size(t))
     place = classes.select("set_key", "doc", "line")
     matched: DataFrame | None = None
     few, is_open = FEW, None
@@ -413,14 +475,16 @@ def matched_classes(docs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
     while True:
         lists = candidate_lists(classes, t, few, is_open)
         free_shuffles(docs.sparkSession)
-        ends = lists.select(F.explode(F.concat(F.array("later", "first_key"), "rest")).alias("set_key")).distinct()
+        ends = lists.select(F.explode(F.concat(F.array("later"), "keys")).alias("set_key")).distinct()
         missing = ends if sets is None else written(ends.join(sets.select("set_key"), "set_key", "left_anti"))
         if sets is None or not missing.isEmpty():  # all that may be compared, in one pass over the texts
             more = written(class_words(docs, place.join(missing, "set_key")))
             sets = more if sets is None else sets.unionAll(more)
-        first = written(_verified(lists.select("later", F.col("first_key").alias("earlier")), sets, t))
-        left = lists.join(first, "later", "left_anti")
-        second = written(_verified(left.select("later", F.explode("rest").alias("earlier")), sets, t))
+        heads = written(lists.groupBy("later").agg(F.min(F.struct("doc", "line", "first_key")).getField("first_key").alias("earlier"), F.bool_or("more").alias("more")))
+        first = written(_verified(heads.select("later", "earlier"), sets, t))
+        left = heads.join(first, "later", "left_anti")
+        pairs = lists.select("later", "keys").join(left.select("later", F.col("earlier").alias("head")), "later").select("later", "head", F.explode("keys").alias("earlier"))
+        second = written(_verified(pairs.filter("earlier <> head").select("later", "earlier").distinct(), sets, t))
         found = first.unionAll(second)
         matched = found if matched is None else matched.unionAll(found)
         rest = left.filter("more").select("later").join(second, "later", "left_anti").withColumnRenamed("later", "set_key")
