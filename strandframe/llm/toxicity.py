@@ -10,8 +10,6 @@ logistic curve fitted on labelled rows that the models have not seen turns that
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship_package
-from .common import documents, give_back, lean_batches, map_rows, pieces, texts_of, written
+from .common import bytes_of, documents, give_back, lean_batches, map_rows, pieces, written
+from .wordhash import mix, words
 
-TOKEN = re.compile(r"\w+")
 DISCOUNT = 0.75
 WINDOW = 8
 TOP_WORDS = 3
@@ -30,9 +28,9 @@ TOP_WORDS = 3
 SAMPLE_ROWS = 12_000
 #: Bytes of text counted or scored at once: counts of word pairs take many times their text's size.
 COUNT_BYTES, SCORE_BYTES = 1 << 19, 1 << 21
-#: A word or word pair of the sample has an estimate of its own unless it is a singleton: one text says
+#: A word or word pair of the sample has an estimate of its own unless it is a singleton: one token says
 #: nothing of a class.  Above that only discount and shared continuation counts smooth.
-LEAST_TEXTS = 2
+LEAST_TOKENS = 2
 CALIBRATION_FOLD = 4
 
 
@@ -40,8 +38,54 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+#: Letters, digits, _ and all bytes outside ASCII make words; A-Z are folded by the hash.
+_WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
+_SLICE = 1 << 18
+
+
+def _parts(text: bytes):
+    """A long text in parts of about _SLICE bytes that end between words."""
+    at = 0
+    while len(text) - at > 2 * _SLICE:
+        end = text.find(b" ", at + _SLICE)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, words per text); no word's hash is 0."""
+    sizes = np.zeros(len(texts), np.int64)
+    found: list[np.ndarray] = [np.zeros(0, np.uint64)]
+    group: list[bytes] = []
+    owner: list[int] = []
+
+    def flush() -> None:
+        data = np.frombuffer(b" ".join(group), np.uint8)
+        start, _, h = words(data)
+        ends = np.cumsum([len(x) + 1 for x in group])
+        np.add(sizes, np.bincount(np.array(owner)[np.searchsorted(ends, start, side="right")], minlength=len(sizes)), out=sizes)
+        found.append(np.maximum(h, np.uint64(1)))
+        group.clear(), owner.clear()
+
+    held = 0
+    for i, text in enumerate(texts):
+        for part in _parts(text.translate(_WORD_BYTES)):
+            group.append(part), owner.append(i)
+            held += len(part)
+            if held >= _SLICE:
+                flush()
+                held = 0
+    if group:
+        flush()
+    return np.concatenate(found), sizes
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, dict[int, int]]:
@@ -63,20 +107,35 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame,
     return sample.dropDuplicates(["text", "toxic"]), sizes
 
 
+GRAMS = "a long, b long, n0 long, n1 long, t0 long, t1 long"
+
+
 def count_grams(sample: DataFrame) -> DataFrame:
-    """(gram, toxic, texts): in how many training texts of a class a word or word pair stands."""
+    """(a, b, n0, n1, t0, t1): tokens and texts by class of the word pairs (a, b) of training texts, and of the words
+    b, for which a is 0.  Words are their hashes; null and empty texts have none."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        counts: Counter = Counter()
-        for c, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
-            words = tokens(text)
-            counts.update((c, g) for g in {*words, *map(" ".join, zip(words, words[1:]))})
-            counts[(c, "")] += 1
-        return {"gram": [g for _, g in counts], "toxic": [c for c, _ in counts], "texts": list(counts.values())}
-
-    part = map_rows(sample.filter("not calibrating"), ["toxic", "text"], kernel, "gram string, toxic int, texts long", COUNT_BYTES)
-    both = part.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("texts"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)])
-    return both
+        h, sizes = hashed_words(bytes_of(batch))
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        pair = np.flatnonzero(text[1:] == text[:-1])
+        a = np.concatenate((np.zeros(len(h), np.uint64), h[pair]))
+        b = np.concatenate((h, h[pair + 1]))
+        text = np.concatenate((text, text[pair]))
+        key = pair_keys(a, b)
+        order = np.argsort(key, kind="stable")  # a key's texts stay in order
+        a, b, text, key = a[order], b[order], text[order], key[order]
+        toxic = batch.column(0).to_numpy()[text]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = new.copy()
+        first[1:] |= text[1:] != text[:-1]
+        at = np.flatnonzero(new)
+        sums = lambda x: np.add.reduceat(x.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        n1, t1 = sums(toxic == 1), sums(first & (toxic == 1))
+        return {"a": a[at].view(np.int64), "b": b[at].view(np.int64), "n0": sums(toxic != 1), "n1": n1, "t0": sums(first & (toxic != 1)), "t1": t1}
+
+    part = map_rows(sample.filter("not calibrating"), ["toxic", "text"], kernel, GRAMS, COUNT_BYTES)
+    return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "t0", "t1")])
 
 
 def reliability(n: np.ndarray, texts: tuple[int, int], noise: float) -> np.ndarray:
@@ -90,78 +149,63 @@ def reliability(n: np.ndarray, texts: tuple[int, int], noise: float) -> np.ndarr
 
 
 class KneserNey:
-    """Log-likelihood ratios of words and word pairs, from grams and their counts by class.
+    """Log-likelihood ratios of words and word pairs, from counts by class of the grams that have estimates.
 
-    totals: of all grams, kept or not: per class the counts' sum and the number of different words, and
-    for the shared lowest order the number of different pairs.
+    words, pairs: hashes and (n0, n1), (t0, t1) of each, of pairs both words'; continuations: of each word, after how many
+    different words it stands in either class.  totals: of all grams, with estimates or not: tokens by class, different
+    words and pairs, and the different words of each class together; texts by class.
     """
 
-    def __init__(self, grams: list[str], counts: np.ndarray, totals: dict, continuations: dict[str, int]):
-        words = sorted(g for g in grams if " " not in g)
-        self.ids = {w: i + 1 for i, w in enumerate(words)}
-        v = len(words) + 1
-        n = np.zeros((2, v))
-        place, key = np.zeros(len(grams), np.int64), np.full(len(grams), -1, np.int64)
-        for k, g in enumerate(grams):
-            x, _, y = g.partition(" ")
-            if not y:
-                place[k] = self.ids[g]
-            elif x in self.ids and y in self.ids:
-                key[k] = self.ids[x] * v + self.ids[y]
-        n[:, place[place > 0]] = counts[:, place > 0]
-        shared = np.ones(v)
-        for w, i in self.ids.items():
-            shared[i] += continuations.get(w, 0)
-        shared /= totals["pairs"] + totals["words"] + 1
-        self.v = v
-        uni = np.empty((2, v))
-        for c in (0, 1):
-            total = max(totals["sum"][c], 1)
-            back = DISCOUNT * totals["types"] / max(sum(totals["sum"]), 1)  # one weight for both: backing off says nothing
-            uni[c] = np.maximum(n[c] - DISCOUNT, 0) / total + back * shared
-        order = np.argsort(key)[int((key < 0).sum()) :]
-        self.keys, two = (key[order], counts[:, order].astype(float)) if len(order) else (np.array([-1], np.int64), np.zeros((2, 1)))
-        first, last = self.keys // v, self.keys % v
-        out = np.zeros((2, len(self.keys)))
+    def __init__(self, words: tuple, pairs: tuple, continuations: np.ndarray, totals: dict):
+        h, n, t = words
+        order = np.argsort(h)
+        self.words, n, t, kinds_before = h[order], n[:, order].astype(float), t[:, order].astype(float), continuations[order]
+        shared = (1.0 + kinds_before) / (totals["pairs"] + totals["words"] + 1)
+        back = DISCOUNT * totals["types"] / max(sum(totals["tokens"]), 1)  # one weight for both: backing off says nothing
+        uni = np.stack([np.maximum(n[c] - DISCOUNT, 0) / max(totals["tokens"][c], 1) + back * shared for c in (0, 1)])
+        a, b, two, two_texts = pairs
+        first, last = np.searchsorted(self.words, a), np.searchsorted(self.words, b)
+        ratios = np.zeros(len(a))
+        out = np.zeros((2, len(a)))
         for c in (0, 1):
-            context = np.maximum(np.bincount(np.maximum(first, 0), weights=two[c], minlength=v), 1.0)
-            kinds = np.bincount(np.maximum(first, 0), weights=two[c] > 0, minlength=v)
-            kinds = np.maximum(kinds, 1)
-            share = np.maximum(two[c] - DISCOUNT, 0) / np.maximum(context[first], n[c][first])
-            left = 1 - np.bincount(np.maximum(first, 0), weights=share, minlength=v)[first]
+            share = np.maximum(two[c] - DISCOUNT, 0) / np.maximum(n[c][first], 1.0)
+            left = 1 - np.bincount(first, weights=share, minlength=len(h))[first]
             out[c] = share + np.maximum(left, 1e-3) * uni[c][last]
-        noise = 2 * math.log(len(grams) + 2)
-        self.pair_ratio = (np.log(out[1]) - np.log(out[0])) * reliability(two, totals["texts"], noise)
-        self.word_ratio = (np.log(uni[1]) - np.log(uni[0])) * reliability(n, totals["texts"], noise)
-        self.word_ratio[0] = 0.0
-
-    def ratios(self, ids: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        noise = 2 * math.log(len(h) + len(a) + 2)
+        ratios = (np.log(out[1]) - np.log(out[0])) * reliability(two_texts.astype(float), totals["texts"], noise)
+        key = pair_keys(a, b)
+        order = np.argsort(key)
+        self.pairs, self.pair_ratio = key[order], ratios[order]
+        self.word_ratio = (np.log(uni[1]) - np.log(uni[0])) * reliability(t, totals["texts"], noise)
+
+    @staticmethod
+    def _found(keys: np.ndarray, ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys there are, their values)."""
+        if not len(ordered):
+            return np.zeros(0, np.int64), values
+        at = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
+        hit = np.flatnonzero(ordered[at] == keys)
+        return hit, values[at[hit]]
+
+    def ratios(self, h: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """Log ratio of each word; follows: whether the word before it is of the same text."""
-        out = self.word_ratio[ids]
-        prev = np.concatenate(([0], ids[:-1]))
-        known = np.flatnonzero((ids > 0) & (prev > 0) & follows)
-        key = prev[known] * self.v + ids[known]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        out[known[hit]] = self.pair_ratio[at[hit]]
+        out = np.zeros(len(h))
+        hit, value = self._found(h, self.words, self.word_ratio)
+        out[hit] = value
+        second = np.flatnonzero(follows[1:]) + 1
+        hit, value = self._found(pair_keys(h[second - 1], h[second]), self.pairs, self.pair_ratio)
+        out[second[hit]] = value
         return out
 
-    def evidence(self, texts: list[str]) -> np.ndarray:
+    def evidence(self, texts: list[bytes]) -> np.ndarray:
         """Per text: mean log ratio, the largest, the largest mean over WINDOW words in a row, and the mean of
         the TOP_WORDS largest; a shorter text is taken as filled up with words that say nothing."""
-        words: list[str] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            w = tokens(t)
-            sizes[i] = len(w)
-            words += w
-        get = self.ids.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        h, sizes = hashed_words(texts)
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        follows = np.ones(len(ids), bool)
+        follows = np.ones(len(h), bool)
         follows[starts[sizes > 0]] = False
-        ratio = self.ratios(ids, follows)
+        ratio = self.ratios(h, follows)
         total = np.concatenate(([0.0], np.cumsum(ratio)))
         out = np.zeros((len(texts), 4))
         out[:, 0] = (total[ends] - total[starts]) / np.maximum(sizes, 1)
@@ -192,28 +236,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
     """(model, curve); (None, prior) where a class has no usable row."""
     sample, sizes = labelled(docs, labels, rows)
     sample = written(sample)
-    grams = written(count_grams(sample))
-    size = {r["gram"]: (r["n0"], r["n1"]) for r in grams.filter("gram = ''").collect()}.get("", (0, 0))
+    train = {r["toxic"]: r["count"] for r in sample.filter("not calibrating").groupBy("toxic").count().collect()}
+    size = (train.get(0, 0), train.get(1, 0))
     if min(size) == 0:
         share = (sizes.get(1, 0) + 1) / (sizes.get(0, 0) + sizes.get(1, 0) + 2)
         return None, np.array([math.log(min(share, 0.49) / (1 - min(share, 0.49)))])
-    single = ~F.col("gram").contains(" ") & (F.col("gram") != "")
+    grams = written(count_grams(sample))
+    single = F.col("a") == 0
     t = grams.agg(
         F.sum(F.when(single, F.col("n0"))).alias("s0"), F.sum(F.when(single, F.col("n1"))).alias("s1"),
-        F.count(F.when(single, 1)).alias("words"), F.count(F.when(F.col("gram").contains(" "), 1)).alias("pairs"),
+        F.count(F.when(single, 1)).alias("words"), F.count(F.when(~single, 1)).alias("pairs"),
         F.sum(F.when(single, (F.col("n0") > 0).cast("int") + (F.col("n1") > 0).cast("int"))).alias("types"),
     ).first()
-    totals = {"sum": (t["s0"] or 0, t["s1"] or 0), "words": t["words"], "pairs": t["pairs"], "types": t["types"] or 0, "texts": size}
-    kept = grams.filter((F.col("n0") + F.col("n1") >= LEAST_TEXTS) & (F.col("gram") != "")).select("gram", "n0", "n1").toArrow()
-    ends = grams.filter(F.col("gram").contains(" ")).groupBy(F.substring_index("gram", " ", -1).alias("gram")).count()
-    ends = ends.join(grams.filter(single & (F.col("n0") + F.col("n1") >= LEAST_TEXTS)).select("gram"), "gram").toArrow()
-    continuations = dict(zip(ends.column("gram").to_pylist(), ends.column("count").to_pylist()))
-    model = KneserNey(kept.column("gram").to_pylist(), np.stack([kept.column(c).to_numpy() for c in ("n0", "n1")]), totals, continuations)
-    del kept, ends, continuations
+    totals = {"tokens": (t["s0"] or 0, t["s1"] or 0), "words": t["words"], "pairs": t["pairs"], "types": t["types"] or 0, "texts": size}
+    often = F.col("n0") + F.col("n1") >= LEAST_TOKENS
+    before = grams.filter(~single).groupBy("b").agg(F.count("*").alias("kinds"))
+    own = grams.filter(single & often).join(before, "b", "left").select("b", "n0", "n1", "t0", "t1", F.coalesce("kinds", F.lit(0)).alias("kinds")).toArrow()
+    two = grams.filter(~single & often).select("a", "b", "n0", "n1", "t0", "t1").toArrow()
+    column = lambda x, c: x.column(c).to_numpy()
+    counts = lambda x: [np.stack([column(x, c) for c in cs]) for cs in (("n0", "n1"), ("t0", "t1"))]
+    model = KneserNey((column(own, "b").view(np.uint64), *counts(own)), (column(two, "a").view(np.uint64), column(two, "b").view(np.uint64), *counts(two)), column(own, "kinds"), totals)
+    del own, two
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        e = shared.value.evidence(texts_of(batch))
+        e = shared.value.evidence(bytes_of(batch))
         return {"toxic": batch.column(0), "e": list(e)}
 
     seen = map_rows(sample.filter("calibrating"), ["toxic", "text"], kernel, "toxic int, e array<double>", SCORE_BYTES).collect()
@@ -239,7 +286,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
         model, curve = shared.value
         z = np.full(batch.num_rows, curve[0])
         if model is not None:
-            z = z + model.evidence(texts_of(batch)) @ curve[1:]
+            z = z + model.evidence(bytes_of(batch)) @ curve[1:]
         return {"doc_id": batch.column(0), "score": 1 / (1 + np.exp(-np.clip(z, -700, 700)))}
 
     scored = map_rows(docs, ["doc_id", "text"], kernel, "doc_id long, score double", SCORE_BYTES)
@@ -260,7 +307,7 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
         give_back()
         model, curve = shared.value
         for batch in pieces(batches, "text", SCORE_BYTES):
-            texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
+            texts = [b"" if t is None else t for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(curve[0] + model.evidence(texts) @ curve[1:] < 0))
 
     return docs.mapInArrow(keep, docs.schema)
