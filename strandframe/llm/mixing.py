@@ -19,6 +19,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_TOKENS = 64
 SHARD_TOKENS = 1 << 20
 MOST_REPEATS = 3
+#: Blocks that the least target has at least.
+BLOCKS_OF_LEAST = 100
+#: Rows of a table of sources that are broadcast at most.
+MOST_BROADCAST = 100_000
 #: Shards grow with the corpus beyond this many, so the driver's table of quotas stays small.
 MOST_SHARDS = 200_000
 
@@ -83,10 +87,12 @@ def sainte_lague(claims: list[float], seats: int, most: list[int] | None = None)
     return got
 
 
-def plan(sized: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> tuple[list[dict], DataFrame]:
-    """The sources in order with size, target and blocks; and (source, shard, quota_tokens).
+def plan(sized: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> tuple[int, DataFrame]:
+    """The tokens of a block; and per source and shard its size, quota in tokens, and its source's size and target.
 
-    The driver holds one row per source and one per shard of shard_tokens tokens: both are metadata.
+    A block is so small that the least target has BLOCKS_OF_LEAST of them, down to one token, so rounding to
+    blocks leaves no source short.  The driver holds one row per source and one per shard of shard_tokens
+    tokens: both are metadata.
     """
     spark = sized.sparkSession
     by_source = [r.asDict() for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()]
@@ -96,6 +102,7 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK_TOKENS,
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
     for r, t in zip(by_source, wanted):
         r["target"], r["shards"] = t, max(1, math.ceil(r["size"] / shard_tokens))
+    block = max(1, min([block, *[int(t / BLOCKS_OF_LEAST) for t in wanted if t > 0]]))
     quota = sainte_lague(wanted, round(sum(wanted) / block), [math.floor(MOST_REPEATS * s / block) for s in sizes])
     shards = spark.createDataFrame([(r["source"], i, r["shards"]) for i, r in enumerate(by_source)], "of string, source_no int, shards int")
     dealt = _placed(sized, shards)
@@ -107,16 +114,14 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK_TOKENS,
         room = [math.floor(MOST_REPEATS * s / block) for _, s in own]
         for (shard, size), q in zip(own, sainte_lague([float(s) for _, s in own], quota[i], room)):
             rows.append((by_source[i]["source"], i, shard, by_source[i]["shards"], by_source[i]["size"], by_source[i]["target"], size, q * block))
-    return by_source, spark.createDataFrame(rows, "of string, source_no int, shard int, shards int, source_size long, target double, shard_size long, quota long")
+    return block, spark.createDataFrame(rows, "of string, source_no int, shard int, shards int, source_size long, target double, shard_size long, quota long")
 
 
 def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each document's source number and shard; one row per source is broadcast."""
-    return sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", _shard(F.col("doc_id"), F.col("shards"))).drop("of", "shards")
-
-
-def _shard(doc_id: Column, shards: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id, F.lit("shard")), shards).cast("int")
+    """Each document's source number and shard; sources has one row per source, which is broadcast up to a bound."""
+    few = sources.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    x = sized.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("of")))
+    return x.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("shard")), F.col("shards")).cast("int")).drop("of", "shards")
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: tuple = WEIGHTS, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -129,7 +134,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple = WEIGHTS, block: int =
     """
     spark = docs.sparkSession
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")))
-    _, quotas = plan(sized, weights, block, shard_tokens)
+    block, quotas = plan(sized, weights, block, shard_tokens)
     placed = _placed(sized, quotas.select("of", "source_no", "shards").distinct())
     line = Window.partitionBy("source_no", "shard").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(seed)), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     on_line = placed.withColumn("end", F.sum("size").over(line)).join(quotas.drop("of", "shards"), ["source_no", "shard"])
@@ -169,4 +174,5 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document, as mix() has them."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
