@@ -8,6 +8,8 @@ an equality join finds every such pair, and the join's condition verifies the wh
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,6 +21,45 @@ from .hamming import close_pairs
 from .neardup import SHINGLE, SIMILARITY, near_copies
 
 SEED = 42
+#: Bytes of text, and hashes, that are held at a time.
+_PART, _HASHES = 1 << 20, 1 << 14
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _parts(text: bytes):
+    """A text in parts of about _PART bytes that end between words."""
+    at = 0
+    while len(text) - at > 2 * _PART:
+        m = _SPACE.search(text, at + _PART)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def bit_counts(text: bytes, shingle: int) -> tuple[np.ndarray, int]:
+    """(how many shingles' hashes have each bit, highest first; how many shingles); a long text goes by parts."""
+    digest = xxhash.xxh64_intdigest
+    ones, n = np.zeros(64, np.int64), 0
+    carry: list[bytes] = []
+    for part in _parts(text):
+        words = carry + part.lower().split()
+        carry = words[max(0, len(words) - shingle + 1) :]
+        if len(words) < shingle:
+            continue
+        flat = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate(([0], ends[:-1]))
+        spans = zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist())
+        h = np.fromiter((digest(flat[a:b], SEED) for a, b in spans), np.uint64, len(words) - shingle + 1)
+        for at in range(0, len(h), _HASHES):
+            ones += np.unpackbits(h[at : at + _HASHES].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
+    if not n and carry:
+        ones += np.unpackbits(np.array([digest(b" ".join(carry), SEED)], ">u8").view(np.uint8))
+        n = 1
+    return ones, n
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -29,21 +70,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        digest = xxhash.xxh64_intdigest
         out = np.zeros(batch.num_rows, np.uint64)
         for i, text in enumerate(bytes_of(batch)):
-            words = text.lower().split()
-            if not words:
-                continue
-            flat = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            starts = np.concatenate(([0], ends[:-1]))
-            k = max(0, len(words) - shingle)
-            spans = zip(starts[: k + 1].tolist(), (ends[min(shingle, len(words)) - 1 :] - 1).tolist())
-            h = np.fromiter((digest(flat[a:b], SEED) for a, b in spans), np.uint64, k + 1)
-            bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones = bits.sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits(ones * 2 > len(h)).view(">u8")[0]
+            ones, n = bit_counts(text, shingle)
+            out[i] = np.packbits(ones * 2 > n).view(">u8")[0]
         return {"doc_id": batch.column(0), "fp": out.view(np.int64)}
 
     return map_rows(docs, ["doc_id", "text"], kernel, "doc_id long, fp long")
@@ -80,4 +110,5 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMI
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document, as near_duplicates() has them."""
     return near_duplicates(documents(spark, sf_dir))
