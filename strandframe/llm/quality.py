@@ -1,8 +1,9 @@
 """Quality rules by weak supervision.
 
 Rules vote good (1), bad (0) or abstain (null).  Expectation-maximisation over the histogram of vote
-patterns estimates how often each rule votes which way on good texts and on each kind of bad ones; the posterior
-that a text is good decides.  One bad vote of a rule that also errs on good texts is outweighed by the others.
+patterns estimates how often each rule that votes says bad on good texts and on each kind of bad ones; the
+posterior that a text is good decides.  A kind of bad texts is a family of rules that fail together, so a bad vote
+counts as far as the other votes bear it out, and one of a rule that also errs on good texts is outvoted.
 The histogram has at most 3**len(rules()) rows whatever the corpus's size, so EM runs on the driver.
 """
 
@@ -55,7 +56,7 @@ def _repeat_words(h: np.ndarray, owner: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """Counts per document.  A word is a run without ASCII white space; null and empty texts count nothing.
+    """Counts per document, FEATURES.  An empty table gives no rows, repeated rows a row each.  A word is a run without ASCII white space; null and empty texts count nothing.
 
     Windows are compared by 64-bit hashes within one document.
     """
@@ -99,56 +100,65 @@ def rules() -> dict[str, Column]:
     mean = per_word("word_chars")
     capitals = F.try_divide(F.col("n_upper"), F.col("n_letters"))
     return {
-        "length": _vote((n >= 50) & (n <= 50_000), (n < 20) | (n > 200_000)),
-        "word_length": _vote((mean >= 3) & (mean <= 9), (mean < 2) | (mean > 14)),
+        "length": _vote(n >= 60, n < 40),
+        "word_length": _vote((mean >= 3.5) & (mean <= 6.2), (mean < 3) | (mean > 7)),
         "symbols": _vote(per_word("n_symbols") <= 0.02, per_word("n_symbols") > 0.1),
-        "dup_lines": _vote(per_line("n_dup_lines") == 0, per_line("n_dup_lines") > 0.3),
-        "repeats": _vote(per_word("n_repeat_words") <= 0.05, per_word("n_repeat_words") > 0.3),
-        "stutter": _vote(per_word("n_stutter") <= 0.05, per_word("n_stutter") > 0.2),
-        "capitals": _vote(capitals <= 0.2, capitals > 0.5),
-        "shouts": _vote(per_word("n_shouts") <= 0.02, per_word("n_shouts") > 0.1),
-        "line_ends": _vote(per_line("n_ends") >= 0.6, per_line("n_ends") < 0.1),
-        "variety": F.when(n >= 20, _vote(per_word("n_distinct") >= 0.25, per_word("n_distinct") < 0.1)),
+        "dup_lines": _vote(per_line("n_dup_lines") == 0, per_line("n_dup_lines") > 0.25),
+        "repeats": _vote(per_word("n_repeat_words") == 0, per_word("n_repeat_words") > 0.2),
+        "stutter": _vote(per_word("n_stutter") <= 0.02, per_word("n_stutter") > 0.05),
+        "capitals": _vote(capitals <= 0.05, capitals > 0.15),
+        "shouts": _vote(per_word("n_shouts") <= 0.01, per_word("n_shouts") > 0.05),
+        "line_ends": _vote(per_line("n_ends") >= 0.97, per_line("n_ends") < 0.93),
+        "variety": F.when(n >= 20, _vote(per_word("n_distinct") >= 0.66, per_word("n_distinct") < 0.58)),
     }
 
 
-#: How often a rule that votes says bad, at the start of EM, which also draws a small corpus to it: on the
-#: texts whose fault it looks for, on texts with another fault, and on good ones.  Abstaining says nothing.
-ON_FAULT, ON_OTHER, ON_GOOD = 0.95, 0.05, 0.006
+#: Rules that look for one kind of bad text from different sides.
+FAMILIES = (("symbols", "line_ends", "word_length"), ("dup_lines", "repeats", "stutter", "variety"), ("capitals", "shouts"))
+#: How often a rule that votes says bad, at the start of EM: on texts of its family, on other bad texts and on
+#: good ones.  Abstaining says nothing.
+ON_FAULT, ON_OTHER, ON_GOOD = 0.6, 0.1, 0.05
+#: The same, and the start's weight as a share of the texts, where every rule is a family of its own: votes then
+#: don't bear each other out, and only the start tells a fault from a rule's error.
+ALONE, ALONE_DRAW = (0.95, 0.05, 0.006), 0.02
 PRIOR_GOOD = 0.85
-#: The start's weight against the texts', as a share of them.
-DRAW = 0.02
+#: The start's weight, as a number of texts: it decides where there are no texts and names the classes.
+DRAW = 20.0
 
 
-def start_rates(width: int) -> np.ndarray:
-    """[rule, class, bad or good vote]; class 0 is good, class j + 1 holds the fault that rule j looks for."""
-    bad = np.full((width, width + 1), ON_OTHER)
-    bad[:, 0] = ON_GOOD
-    bad[np.arange(width), np.arange(width) + 1] = ON_FAULT
+def start_rates(width: int, families: list[list[int]], fault: float = ON_FAULT, other: float = ON_OTHER, good: float = ON_GOOD) -> np.ndarray:
+    """[rule, class, bad or good vote]; class 0 is good, class k + 1 holds texts of family k, of rule numbers."""
+    bad = np.full((width, len(families) + 1), other)
+    bad[:, 0] = good
+    for k, own in enumerate(families):
+        bad[own, k + 1] = fault
     return np.stack([bad, 1 - bad], axis=2)
 
 
-def fit_accuracies(patterns: list[tuple[tuple, int]], width: int, rounds: int = 300, prior_good: float = PRIOR_GOOD, draw: float = DRAW) -> dict:
+def fit_accuracies(patterns: list[tuple[tuple, int]], width: int, families: list[list[int]] | None = None, rounds: int = 1000, prior_good: float = PRIOR_GOOD, draw: float = DRAW) -> dict:
     """MAP-EM over (votes, count) rows: P(class), and P(vote | class, the rule votes) of each rule.
 
-    Bad texts mostly have one fault, so there is a class for each rule's fault beside the good class; one
-    bad class would have to fail all rules alike.  Rates and shares keep draw * texts pseudo-counts of the
-    start, so classes can't change places and a rule that nothing confirms keeps its start's accuracy."""
-    start = start_rates(width)
-    share0 = np.array([prior_good] + [(1 - prior_good) / max(width, 1)] * width)
+    families: the rules of each kind of bad text; None: each rule has its own.  Rates and shares come from the
+    counts but for `draw` pseudo-texts of the start; without patterns they are the start's.
+    """
+    if families is None:
+        families = [[j] for j in range(width)]
+        start, draw = start_rates(width, families, *ALONE), ALONE_DRAW * sum(k for _, k in patterns) + 1
+    else:
+        start = start_rates(width, families)
+    share0 = np.array([prior_good] + [(1 - prior_good) / max(len(families), 1)] * len(families))
     rates, share = start, share0
     if patterns:
         v = np.array([[-1 if x is None else x for x in p] for p, _ in patterns])
         c = np.array([k for _, k in patterns], float)
-        weight = draw * c.sum() + 1
         hot = np.stack([v == k for k in range(2)], axis=2).astype(float)
         for _ in range(rounds):
             log = np.einsum("pjk,jck->pc", hot, np.log(rates)) + np.log(share)
             post = np.exp(log - log.max(axis=1, keepdims=True))
             post = post / post.sum(axis=1, keepdims=True) * c[:, None]
-            new = np.einsum("pc,pjk->jck", post, hot) + weight * start * share0[None, :, None]
+            new = np.einsum("pc,pjk->jck", post, hot) + draw * start * share0[None, :, None]
             new /= new.sum(axis=2, keepdims=True)
-            shares = (post.sum(axis=0) + weight * share0) / (c.sum() + weight)
+            shares = (post.sum(axis=0) + draw * share0) / (c.sum() + draw)
             moved = max(np.abs(new - rates).max(), np.abs(shares - share).max())
             rates, share = new, shares
             if moved < 1e-9:
@@ -179,7 +189,8 @@ def weak_supervision(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     named = rules()
     votes = features.select(*[v.alias(k) for k, v in named.items()])
     histogram = [(tuple(r)[:-1], r["count"]) for r in votes.groupBy(*named).count().collect()]
-    model = fit_accuracies(sorted(histogram, key=str), len(named))
+    number = {k: j for j, k in enumerate(named)}
+    model = fit_accuracies(sorted(histogram, key=str), len(named), [[number[k] for k in f] for f in FAMILIES])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     voted = features.select("*", *[v.alias(f"vote_{k}") for k, v in named.items()])
     p = posterior([F.col(f"vote_{k}") for k in named], model)
@@ -190,4 +201,5 @@ def weak_supervision(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, ..., base_failed, kept, quality) of every document, as weak_supervision() has them."""
     return weak_supervision(documents(spark, sf_dir))
