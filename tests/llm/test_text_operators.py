@@ -322,6 +322,23 @@ def test_mix(spark, small, odd, empty):
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(empty).count() == 0
 
 
+def test_small_sources_get_their_share(spark):
+    d = docs_of(spark, ["one two three"] * 9)
+    got = mixing.mix(d).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, [0, r.target])[0] += r.taken
+    assert all(abs(a - t) <= 1 for a, t in by.values()) and len(by) == 3
+    words = " ".join(f"w{i}" for i in range(500))
+    rows = [(i, words, "en", "big" if i else "small", 0) for i in range(40)]
+    rows += [(None, words, "en", None, 0)] * 3  # rows without an id, all alike
+    by = {}
+    for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert r.taken <= 3 * r.size
+        by.setdefault(r.source, [0, r.target])[0] += r.taken
+    assert all(abs(a - t) <= 0.02 * t for a, t in by.values())
+
+
 # ---- 6: quality -----------------------------------------------------------------------------------------
 
 
@@ -370,6 +387,66 @@ def test_em_finds_faults_and_rates():
     assert quality.fit_accuracies([], 3)["share"][0] == quality.PRIOR_GOOD
 
 
+def slow_em(rows, width, families):
+    """The same model text by text, without arrays: (posterior of good by votes)."""
+    classes = range(len(families) + 1)
+    start = [[[b, 1 - b] for c in classes for b in [quality.ON_GOOD if c == 0 else quality.ON_FAULT if j in families[c - 1] else quality.ON_OTHER]] for j in range(width)]
+    prior = [quality.PRIOR_GOOD] + [(1 - quality.PRIOR_GOOD) / len(families)] * len(families)
+    rate, share = start, prior
+
+    def post(votes):
+        w = [share[c] * math.prod(rate[j][c][v] for j, v in enumerate(votes) if v is not None) for c in classes]
+        return [x / sum(w) for x in w]
+
+    for _ in range(400):
+        seen = {v: post(v) for v in rows}
+        total = [sum(n * seen[v][c] for v, n in rows.items()) for c in classes]
+        new = []
+        for j in range(width):
+            own = []
+            for c in classes:
+                k = [sum(n * seen[v][c] for v, n in rows.items() if v[j] == x) + quality.DRAW * start[j][c][x] * prior[c] for x in (0, 1)]
+                own.append([x / sum(k) for x in k])
+            new.append(own)
+        rate, share = new, [(t + quality.DRAW * p) / (sum(total) + quality.DRAW) for t, p in zip(total, prior)]
+    return {v: post(v)[0] for v in rows}
+
+
+def test_quality_verdict_brute(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    named = quality.rules()
+    voted = quality.text_features(docs).select("doc_id", *[v.alias(k) for k, v in named.items()]).collect()
+    votes = {r.doc_id: tuple(r)[1:] for r in voted}
+    rows = {}
+    for v in votes.values():
+        rows[v] = rows.get(v, 0) + 1
+    at = {k: j for j, k in enumerate(named)}
+    good = slow_em(rows, len(named), [[at[k] for k in f] for f in quality.FAMILIES])
+    outvoted = 0
+    for r in quality.weak_supervision(docs).collect():
+        p = good[votes[r.doc_id]]
+        assert r.quality == pytest.approx(p, abs=1e-4) and (abs(p - 0.5) < 1e-3 or r.kept == (not r.base_failed and p >= 0.5))
+        outvoted += r.kept and 0 in votes[r.doc_id]
+    assert outvoted >= 10
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    kept = {r.doc_id: r.kept for r in quality.weak_supervision(docs).collect()}
+    assert sum(kept[i] == (q == 1) for i, q in labels.items() if i in kept) >= 0.97 * sum(i in kept for i in labels)
+
+
+def test_one_weak_rule_is_outvoted():
+    """Rule 2 errs on a tenth of good texts; rules 0 and 1 fail together on bad ones."""
+    rng = np.random.default_rng(3)
+    rows = {}
+    for _ in range(20_000):
+        bad = rng.random() < 0.1
+        r = rng.random(3)
+        v = (int(r[0] > (0.95 if bad else 0.01)), int(r[1] > (0.8 if bad else 0.02)), int(r[2] > 0.1))
+        rows[v] = rows.get(v, 0) + 1
+    m = quality.fit_accuracies(sorted(rows.items()), 3, [[0, 1], [2]])
+    good = lambda v: (w := [m["share"][c] * math.prod(m["rates"][j][c][x] for j, x in enumerate(v)) for c in range(3)])[0] / sum(w)
+    assert good((1, 1, 0)) > 0.5 and good((0, 0, 1)) < 0.01
+
+
 # ---- 7: lines -------------------------------------------------------------------------------------------
 
 
@@ -466,6 +543,36 @@ def test_embeddings_exact_on_tables(spark):
     assert [got[i] for i, _ in rows] == list(zip(n.tolist(), comp.tolist()))
 
 
+def common_vectors(rng, n, width):
+    """Vectors with a large common part, with links at all similarities above the threshold."""
+    base = rng.normal(size=width) * 1.5
+    x = rng.normal(size=(n // 2, width)) + base
+    turn = rng.normal(size=(n // 2, width)) * rng.uniform(0.05, 0.6, size=(n // 2, 1))
+    return np.concatenate((x, x + turn))
+
+
+@pytest.mark.parametrize("width,common", [(64, False), (64, True), (256, False), (256, True), (16, False)])
+def test_embedding_recall(spark, width, common):
+    rng = np.random.default_rng(width)
+    x = common_vectors(rng, 1600, width)
+    if not common:
+        x -= x[:800].mean(axis=0)
+    d = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    n, _ = brute_vectors(np.float32(x).astype(float), np.arange(len(x)), np.ones(len(x), bool))
+    found = np.array([r.n_links for r in sorted(embeddings.near_vectors(d).collect(), key=lambda r: r.vec_id)])
+    print("recall", width, common, found.sum() / n.sum(), n.sum())
+    assert (found <= n).all() and n.sum() > 200 and found.sum() >= 0.93 * n.sum()
+
+
+def test_embeddings_of_other_lengths(spark):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(10, 64)), 2, axis=0)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(100, [1.0] * 65), (101, []), (102, [2.0] * 65), (2**62, [float(v) for v in x[0]])]
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got[0].n_links == 2 and all(got[i].n_links == 1 for i in range(2, 20)) and got[101].n_links == 0
+    assert got[100].n_links == got[102].n_links == 1 and got[102].component_id == 100 and got[2**62].component_id == 0
+
+
 # ---- 9: licenses ----------------------------------------------------------------------------------------
 
 
@@ -491,6 +598,58 @@ def test_licenses(spark, small, odd, empty):
     assert by_id(licenses.scan_licenses(odd))[0].n_words == 0
 
 
+def brute_notices(t):
+    """Labels by trying every start of every template: the key phrases stand, and two of the three rarest words that
+    the file has of it, or its only one, stand too."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    out = {}
+    for label, (text, phrases) in licenses.TEMPLATES.items():
+        own = text.split()
+        listed = [(x, i) for i, x in enumerate(own) if x not in licenses.COMMON]
+        for start in range(-len(own), len(w)):
+            stands = [(x, i) for x, i in listed if 0 <= start + i < len(w) and w[start + i] == x]
+            key = []
+            for p in phrases:
+                p = p.split()
+                at = next(i for i in range(len(own)) if own[i : i + len(p)] == p)
+                key += [(x, at + k) for k, x in enumerate(p) if x not in licenses.COMMON]
+            if all(k in stands for k in key):
+                out[label] = max(out.get(label, 0), len(stands) / len(listed))
+    return out
+
+
+def test_notices_brute(spark, small):
+    rng = random.Random(12)
+    filler = "a word or any other software license use copy public general mit this permission notice".split()
+    texts = []
+    for i in range(120):
+        words = rng.choices(filler, k=rng.randint(0, 40))
+        for label in rng.sample(sorted(licenses.TEMPLATES), rng.randint(0, 3)):
+            own = licenses.TEMPLATES[label][0].split()
+            if rng.random() < 0.4:
+                own[rng.randrange(len(own))] = "other"
+            at = rng.randint(0, len(words))
+            words[at:at] = own if rng.random() < 0.7 else own[: rng.randint(1, len(own))]
+        texts.append(" ".join(words))
+    texts.append("mit license distributed under the GNU General Public License")
+    got = by_id(licenses.scan_licenses(docs_of(spark, texts)))
+    hit = 0
+    for i, t in enumerate(texts):
+        want = brute_notices(t)
+        labels = {x for x in got[i].labels.split(",") if x.startswith("notice:")}
+        assert labels <= set(want) and all(x in labels for x, share in want.items() if share == 1)
+        if labels:
+            assert got[i].score >= max(want[x] for x in labels) - 1e-9
+        hit += len(labels)
+    assert hit > 100 and "notice:gpl" in got[len(texts) - 1].labels
+
+
+def test_license_rows_are_linear(spark):
+    d = docs_of(spark, ["mit license " * 90_000, "released under the mit license"])
+    r = by_id(licenses.scan_licenses(d))
+    assert r[0].n_base == 90_000 and "notice:mit" in r[0].labels and r[1].score == 1.0
+
+
 # ---- 10: simhash ----------------------------------------------------------------------------------------
 
 
@@ -532,6 +691,15 @@ def test_simhash(spark, small, odd, empty):
     assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([0, 3, 4, 6, 7, 8, 9, None], key=str)
 
 
+def test_long_texts_and_large_ids(spark):
+    rng = random.Random(3)
+    long = "\n".join(" ".join(f"w{rng.randrange(5000)}" for _ in range(12)) for _ in range(60_000))  # about 4 MB
+    d = docs_of(spark, [long, long + " end", "x y z"], [2**63 - 1, -(2**63), 2**63 - 2])
+    r = by_id(simhash.near_duplicates(d))
+    assert all(int(r[i].fingerprint, 16) == brute_fingerprint(t) for i, t in ((2**63 - 1, long), (2**63 - 2, "x y z")))
+    assert r[2**63 - 1].component_id == -(2**63)
+
+
 def edited(rng, words, edits):
     out = list(words)
     for i in rng.sample(range(len(out)), edits):
@@ -592,3 +760,25 @@ def test_component_chain(spark):
     got = {r.id: r.component for r in components(e).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[101] == -5 and got[-5] == -5
     assert components(e.limit(0)).count() == 0 and math.isfinite(len(got))
+    big = [2**63 - 1 - i for i in range(40)]
+    e = spark.createDataFrame([(a, b) for a, b in zip(big, big[1:])], "a long, b long")
+    assert {r.component for r in components(e).collect()} == {big[-1]}
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from strandframe.llm import common
+
+    class Named:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Named()
+
+        class conf:
+            get = staticmethod(lambda name, other=None: None)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
