@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship_package
 from .common import bytes_of, documents, free_shuffles, give_back, map_rows, written
 from .wordhash import mix, words
 
@@ -110,19 +111,45 @@ def summed_table(parts: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-#: Flags of a set of keys or words that is sent to all tasks: of fixed size, so it never grows.  What shares
-#: a flag with a member passes too, which costs work but changes nothing.
-FLAGS = 1 << 22
+#: Flags of a set of keys, words or places that is sent to all tasks: of fixed size, so it never grows.  What
+#: shares a flag with a member passes too, which costs work but changes nothing.
+FLAGS = 1 << 23
 
 
-def flag_parts(at: np.ndarray) -> dict:
-    flags = np.zeros(FLAGS, bool)
-    flags[at] = True
-    return {"part": list(range(16)), "counts": [x.tobytes() for x in np.split(np.packbits(flags), 16)]}
+def _flag(x: np.ndarray) -> np.ndarray:
+    return (mix(x.view(np.uint64)) >> np.uint64(41)).astype(np.int64)
+
+
+class Flags:
+    """A set of flags, packed."""
+
+    def __init__(self, packed: np.ndarray | None = None):
+        self.packed = np.zeros(FLAGS // 8, np.uint8) if packed is None else packed
+
+    def add(self, x: np.ndarray) -> None:
+        at = np.unique(_flag(x))
+        np.bitwise_or.at(self.packed, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
 
+    def has(self, x: np.ndarray) -> np.ndarray:
+        at = _flag(x)
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 1
 
-def united_flags(parts: DataFrame) -> np.ndarray:
-    """The union of flag tables that arrive as flag_parts()."""
+
+def united(df: DataFrame, columns: list[str], members) -> list[Flags]:
+    """The flags of members(record batch), a list of arrays of 64-bit numbers, over all rows of df[columns]; a task
+    hands on one table of each, in parts that are united apart."""
+    ship_package(df.sparkSession)
+
+    def collect(batches):
+        give_back()
+        own: list[Flags] = []
+        for batch in batches:
+            for i, x in enumerate(members(batch)):
+                if i == len(own):
+                    own.append(Flags())
+                own[i].add(x)
+        parts = [(16 * i + k, x.tobytes()) for i, f in enumerate(own) for k, x in enumerate(np.split(f.packed, 16))]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["part", "flags"])
 
     def unite(batches):
         total: dict[int, np.ndarray] = {}
@@ -130,37 +157,35 @@ def united_flags(parts: DataFrame) -> np.ndarray:
             for part, v in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = np.frombuffer(v.as_buffer(), np.uint8)
                 total[part] = total[part] | x if part in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "flags"])
 
-    table = np.zeros((16, FLAGS // 128), np.uint8)
-    local = parts.mapInArrow(unite, "part int, counts binary")
-    for r in local.repartition(16, "part").mapInArrow(unite, "part int, counts binary").collect():
-        table[r["part"]] |= np.frombuffer(r["counts"], np.uint8)
-    return np.unpackbits(table.ravel()).astype(bool)
+    schema = "part int, flags binary"
+    rows = df.select(*columns).mapInArrow(collect, schema).repartition(16, "part").mapInArrow(unite, schema).collect()
+    by_part = {r["part"]: np.frombuffer(r["flags"], np.uint8) for r in rows}
+    n = max(by_part, default=-1) // 16 + 1
+    return [Flags(np.concatenate([by_part[16 * i + k] for k in range(16)])) for i in range(n)]
 
 
-def _flag(x: np.ndarray) -> np.ndarray:
-    return (mix(x.view(np.uint64)) >> np.uint64(42)).astype(np.int64)
+def longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def open_counters(still: DataFrame) -> np.ndarray:
+def open_flags(still: DataFrame) -> Flags:
     """Flags of the keys of still(set_key); the classes needn't be joined to know which are open."""
+    found = united(still, ["set_key"], lambda b: [longs(b.column(0))])
+    return found[0] if found else Flags()
 
-    def kernel(batch: pa.RecordBatch) -> dict:
-        return flag_parts(_flag(batch.column(0).to_numpy()))
-
-    return united_flags(map_rows(still, ["set_key"], kernel, "part int, counts binary"))
 
-
-def words_of_open(classes: DataFrame, is_open: np.ndarray) -> np.ndarray:
+def words_of_open(classes: DataFrame, is_open: Flags) -> Flags:
     """Flags of the prefix words of open classes: in a later round the index holds no others."""
     shared = classes.sparkSession.sparkContext.broadcast(is_open)
 
-    def kernel(batch: pa.RecordBatch) -> dict:
-        use = shared.value[_flag(batch.column(0).to_numpy())]
-        return flag_parts(_flag(np.frombuffer(b"".join(p for p, k in zip(batch.column(1).to_pylist(), use) if k), np.uint64)))
+    def members(batch: pa.RecordBatch) -> list[np.ndarray]:
+        use = shared.value.has(longs(batch.column(0)))
+        return [np.frombuffer(b"".join(p for p, k in zip(batch.column(1).to_pylist(), use) if k), np.uint64)]
 
-    return united_flags(map_rows(classes, ["set_key", "prefix"], kernel, "part int, counts binary"))
+    found = united(classes, ["set_key", "prefix"], members)
+    return found[0] if found else Flags()
 
 
 def _counter(tokens: np.ndarray) -> np.ndarray:
@@ -227,9 +252,12 @@ def line_classes(docs: DataFrame, rarity: np.ndarray, t: float) -> DataFrame:
     return written(first.select("set_key", "x.*"))
 
 
-_ROW = np.dtype([("token", "<u8"), ("key", "<i8"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4"), ("part", "<u4"), ("open", "u1")])
+#: A row of the prefix index; size is below 0 where the class is no longer open.
+_ROW = np.dtype([("token", "<u8"), ("key", "<i8"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("line", "<i4"), ("size", "<i4"), ("place", "<i4")])
 #: A later line's candidates per word and round, and how much they grow by round.
 FEW, GROWTH = 64, 8
+#: Candidates that all open classes of a later round may have between them, about.
+CANDIDATES = 1 << 22
 #: Candidate pairs that a reducer looks at or holds at a time, about.
 _KEEP = 300_000
 
@@ -239,16 +267,27 @@ def _bands(size: np.ndarray, t: float) -> np.ndarray:
     return np.floor(np.log(size) / -math.log(t) * (1 - 1e-9)).astype(np.int64) if t < 1 else size.astype(np.int64) * 2
 
 
-def earlier_few(rows: np.ndarray, t: float, few: int):
+def earlier_few(rows: np.ndarray, t: float, few: int, part_of=None):
     """For each open row, in blocks: (row, an earlier row of its word that passes all filters), and (row, whether
     it has more than are given).  A row gets its earliest `few` at least, if it has as many.
 
     A word's rows stand in size bands, and by document and line within a band.  A row looks at its own and the
     two next bands from the earliest row on, in windows that grow, until it has enough; so a group of near
-    copies costs in proportion to its size, and no more than _KEEP pairs are held at a time or a row's own."""
+    copies costs in proportion to its size, and no more than _KEEP pairs are held at a time or a row's own.
+    part_of(token, key): where rows are of two parts of a word, their parts; pairs within one are in another bucket."""
+    by_token = np.argsort(rows["token"], kind="stable")
+    ordered = rows["token"][by_token]
+    again = ordered[1:] == ordered[:-1]
+    shared = np.zeros(len(rows), bool)
+    shared[1:] = again
+    shared[:-1] |= again
+    origin = np.sort(by_token[shared])  # a word that one class has pairs nothing
+    rows = rows[origin]
     n = len(rows)
     if n < 2:
         return
+    opened = rows["size"] > 0
+    rows["size"] = np.abs(rows["size"])
     band = _bands(rows["size"], t)
     place_in_corpus = np.empty(n, np.int64)
     by_place = np.lexsort((rows["line"], rows["doc"]))
@@ -257,14 +296,16 @@ def earlier_few(rows: np.ndarray, t: float, few: int):
     r = rows[order]
     token, band, when = r["token"], band[order], place_in_corpus[order]
     size, left = r["size"].astype(np.int64), (r["size"] - r["place"]).astype(np.int64)
-    b0, b1, part = (np.ascontiguousarray(r[c]) for c in ("b0", "b1", "part"))
-    across = len(np.unique(part)) > 1  # a bucket of two parts of a word: pairs within a part are in another bucket
+    b0, b1 = (np.ascontiguousarray(r[c]) for c in ("b0", "b1"))
+    part = part_of(np.ascontiguousarray(token), np.ascontiguousarray(r["key"])) if part_of is not None else np.zeros(n, np.int64)
+    across = len(np.unique(part)) > 1
     new = np.ones(n, bool)
     new[1:] = (token[1:] != token[:-1]) | (band[1:] != band[:-1])
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     line = group * (n + 1) + when
-    late = np.flatnonzero(r["open"] == 1)
+    late = np.flatnonzero(opened[order])
+    order = origin[order]
     step = max(1, _KEEP // few)
     for lo in range(0, len(late), step):
         own = late[lo : lo + step]
@@ -316,17 +357,60 @@ def earlier_few(rows: np.ndarray, t: float, few: int):
         yield order[early[keep]], order[own[who[keep]]], order[own[unfinished | (many > few)]]
 
 
-def prefix_counts(classes: DataFrame, wanted) -> np.ndarray:
-    """How many index rows each counter's words have."""
+#: Flags of words that some, and that several, classes have in their prefixes.
+SEEN = 1 << 25
+
+
+def _seen(token: np.ndarray) -> np.ndarray:
+    return (mix(token ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(39)).astype(np.int64)
 
-    def kernel(batch: pa.RecordBatch) -> dict:
-        token = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
-        only = wanted.value[1]
-        if only is not None:
-            token = token[only[_flag(token)]]
-        return {"part": list(range(16)), "counts": table_parts(np.bincount(_counter(token), minlength=COUNTERS))}
 
-    return summed_table(map_rows(classes, ["prefix"], kernel, "part int, counts binary"))
+def prefix_tables(classes: DataFrame, wanted) -> tuple[np.ndarray, np.ndarray]:
+    """(index rows of each counter's words, packed flags of words that two classes or more have).
+
+    A word that one class has pairs nothing and needn't be in the index.  Both tables are of fixed size; words that
+    share a flag count as one, which lets a few through."""
+    ship_package(classes.sparkSession)
+    size = SEEN // 8 // 16
+
+    def tally(batches):
+        give_back()
+        count, seen = np.zeros(COUNTERS, np.int64), np.zeros(SEEN, np.uint8)
+        for batch in batches:
+            token = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            only = wanted.value[1]
+            if only is not None:
+                token = token[only.has(token)]
+            count += np.bincount(_counter(token), minlength=COUNTERS)
+            at, n = np.unique(_seen(token), return_counts=True)
+            seen[at] = np.minimum(seen[at] + np.minimum(n, 2), 2).astype(np.uint8)
+        once, twice = np.split(np.packbits(seen > 0), 16), np.split(np.packbits(seen > 1), 16)
+        arrays = [pa.array(range(16), pa.int32()), pa.array(table_parts(count), pa.binary()), pa.array([x.tobytes() for x in once], pa.binary()), pa.array([x.tobytes() for x in twice], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["part", "counts", "once", "twice"])
+
+    def merge(batches):
+        give_back()
+        total: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, *own in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3))):
+                c, once, twice = np.frombuffer(own[0].as_buffer(), np.int64), *(np.frombuffer(v.as_buffer(), np.uint8) for v in own[1:])
+                if part not in total:
+                    total[part] = [np.zeros(COUNTERS // 16, np.int64), np.zeros(size, np.uint8), np.zeros(size, np.uint8)]
+                t = total[part]
+                t[0], t[2], t[1] = t[0] + c, t[2] | twice | (t[1] & once), t[1] | once
+        arrays = [pa.array(list(total), pa.int32()), *[pa.array([t[i].tobytes() for t in total.values()], pa.binary()) for i in range(3)]]
+        yield pa.RecordBatch.from_arrays(arrays, names=["part", "counts", "once", "twice"])
+
+    schema = "part int, counts binary, once binary, twice binary"
+    count, twice = np.zeros((16, COUNTERS // 16), np.int64), np.zeros((16, size), np.uint8)
+    for r in classes.select("prefix").mapInArrow(tally, schema).repartition(16, "part").mapInArrow(merge, schema).select("part", "counts", "twice").collect():
+        count[r["part"]], twice[r["part"]] = np.frombuffer(r["counts"], np.int64), np.frombuffer(r["twice"], np.uint8)
+    return count.ravel(), twice.ravel()
+
+
+def _part(key: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The part of a cut word's rows that a class is in."""
+    return (mix(key.view(np.uint64)) % cut.astype(np.uint64)).astype(np.int64)
 
 
 def least_size(t: float) -> int:
@@ -337,7 +421,7 @@ def least_size(t: float) -> int:
     return n
 
 
-def candidate_lists(classes: DataFrame, t: float, few: int, is_open: np.ndarray | None = None) -> DataFrame:
+def candidate_lists(classes: DataFrame, t: float, few: int, is_open: Flags | None = None) -> DataFrame:
     """(later, doc, line, first_key, keys, more), a row per open class and word of its prefix that earlier candidates
     share; None: all are open.
 
@@ -348,39 +432,42 @@ def candidate_lists(classes: DataFrame, t: float, few: int, is_open: np.ndarray
     spark = classes.sparkSession
     only = None if is_open is None else words_of_open(classes, is_open)
     tables = spark.sparkContext.broadcast((is_open, only))
-    count = prefix_counts(classes, tables)
+    count, twice = prefix_tables(classes, tables)
     buckets = max(1, math.ceil(int(count.sum()) / BUCKET_ROWS))
     parts = np.where(count > BUCKET_ROWS, -(-2 * count // BUCKET_ROWS), 1)
     own_buckets = np.where(parts > 1, parts * (parts + 1) // 2, 0)
-    dealt = spark.sparkContext.broadcast((parts, buckets + np.cumsum(own_buckets) - own_buckets))
+    dealt = spark.sparkContext.broadcast((parts, buckets + np.cumsum(own_buckets) - own_buckets, twice))
 
     def pack(batches):
         give_back()
         for batch in batches:
             key, doc, line, size, b0, b1 = (batch.column(i).to_numpy() for i in range(6))
             opened, wanted = tables.value
-            parts, base = dealt.value
+            parts, base, twice = dealt.value
             prefix = batch.column(6).to_pylist()
             p = np.fromiter(map(len, prefix), np.int64, len(prefix)) // 8
             row = np.repeat(np.arange(len(p)), p)
-            out = np.zeros(len(row), _ROW)
-            out["token"] = np.frombuffer(b"".join(prefix), np.uint64)
-            out["place"] = np.arange(len(row)) - np.repeat(np.cumsum(p) - p, p)
-            for name, v in (("key", key), ("doc", doc), ("line", line), ("size", size), ("b0", b0.view(np.uint64)), ("b1", b1.view(np.uint64)), ("open", np.ones(len(key), bool) if opened is None else opened[_flag(key)])):
-                out[name] = v[row]
+            token, place = np.frombuffer(b"".join(prefix), np.uint64), np.arange(len(row)) - np.repeat(np.cumsum(p) - p, p)
+            at = _seen(token)
+            use = (twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1) == 1
             if wanted is not None:
-                out = out[wanted[_flag(np.ascontiguousarray(out["token"]))]]
-            bucket = (mix(out["token"]) % np.uint64(buckets)).astype(np.int64)
-            counter = _counter(out["token"])
+                use &= wanted.has(token)
+            row, token, place = row[use], token[use], place[use]
+            bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
+            counter = _counter(token)
             cut = parts[counter]
             if (cut > 1).any():
-                out["part"] = mix(out["key"].view(np.uint64)) % cut.astype(np.uint64)
-                again = np.repeat(np.arange(len(out)), cut)
+                again = np.repeat(np.arange(len(token)), cut)
                 other = np.arange(len(again)) - np.repeat(np.cumsum(cut) - cut, cut)
-                mine = out["part"][again].astype(np.int64)
+                mine = _part(key[row], cut)[again]
                 high, low = np.maximum(mine, other), np.minimum(mine, other)
                 bucket = np.where(cut[again] > 1, base[counter[again]] + high * (high + 1) // 2 + low, bucket[again])
-                out = out[again]
+                row, token, place = row[again], token[again], place[again]
+            out = np.zeros(len(row), _ROW)
+            size = size if opened is None else np.where(opened.has(key), size, -size)
+            for name, v in (("key", key), ("doc", doc), ("line", line), ("size", size), ("b0", b0.view(np.uint64)), ("b1", b1.view(np.uint64))):
+                out[name] = v[row]
+            out["token"], out["place"] = token, place
             order = np.argsort(bucket, kind="stable")
             bucket, out = bucket[order], out[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -390,7 +477,9 @@ def candidate_lists(classes: DataFrame, t: float, few: int, is_open: np.ndarray
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         rows = np.concatenate([np.frombuffer(x.as_buffer(), _ROW) for b in batches for x in b.column(b.schema.get_field_index("rows"))])
-        for a, b, more in earlier_few(rows, t, few):
+        parts = dealt.value[0]
+        part_of = lambda token, key: _part(key, parts[_counter(token)])
+        for a, b, more in earlier_few(rows, t, few, part_of):
             at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
             first, own = a[at], b[at]
             lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(b)), pa.int32()), pa.array(rows["key"][a], pa.int64()))
@@ -404,41 +493,30 @@ def candidate_lists(classes: DataFrame, t: float, few: int, is_open: np.ndarray
     return written(index.groupBy("bucket").applyInArrow(join, "later long, doc long, line int, first_key long, keys array<long>, more boolean"))
 
 
-def _documents_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """(doc, text) of the documents of lists(doc), and of the few that share a flag with one: other texts don't
-    go into the join's shuffle."""
-    ids = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
-    wanted = docs.sparkSession.sparkContext.broadcast(united_flags(map_rows(lists, ["doc"], lambda b: flag_parts(_flag(ids(b.column(0)))), "part int, counts binary")))
-
-    def passing(batches):
-        give_back()
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value[_flag(ids(batch.column(0)))]))
-
-    return docs.select(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "text").mapInArrow(passing, "doc long, text string")
-
-
 def class_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_key, words): the whole sets of the wanted(set_key, doc, line) lines, from their texts."""
-    lists = written(wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "set_key")).alias("lines")))
-    keyed = _documents_of(docs, lists).join(lists, "doc").select("lines", "text")
+    """(set_key, words): the whole sets of the wanted(set_key, doc, line) lines, from their texts.
+
+    Flags of the documents and of the places pick out the lines, and few others; texts don't move."""
+    place = lambda doc, line: mix(doc.view(np.uint64)) + line.astype(np.uint64)
+    flags = united(wanted, ["doc", "line"], lambda b: [longs(b.column(0)), place(longs(b.column(0)), longs(b.column(1)))])
+    shared = docs.sparkSession.sparkContext.broadcast(flags or [Flags(), Flags()])
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        lists = batch.column(0).to_pylist()
-        texts = bytes_of(batch)
-        keys, sets = [], []
+        documents, places = shared.value
+        ids = longs(batch.column(0))
+        use = documents.has(ids)
+        ids, texts = ids[use], bytes_of(batch.filter(pa.array(use)))
+        keys, sets = [np.zeros(0, np.int64)], []
         for a, b in _slices(texts):
             x = Lines(texts[a:b], None)
+            at = np.flatnonzero(places.has(place(ids[a:b][x.text], x.number)))
             raw = x.tokens.tobytes()
-            found = {(int(i), int(k)): (s, n) for i, k, s, n in zip(x.text, x.keys, x.starts, x.sizes)}
-            for i in range(a, b):
-                for r in lists[i]:
-                    if (i - a, r["set_key"]) in found:
-                        s, n = found[(i - a, r["set_key"])]
-                        keys.append(r["set_key"]), sets.append(raw[8 * s : 8 * (s + n)])
-        return {"set_key": keys, "words": sets}
+            keys.append(x.keys[at])
+            sets += [raw[8 * s : 8 * (s + n)] for s, n in zip(x.starts[at].tolist(), x.sizes[at].tolist())]
+        return {"set_key": np.concatenate(keys), "words": sets}
 
-    return map_rows(keyed, ["lines", "text"], kernel, "set_key long, words binary").dropDuplicates(["set_key"])
+    found = map_rows(docs.select(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "text"), ["doc", "text"], kernel, "set_key long, words binary")
+    return found.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
@@ -478,7 +556,7 @@ def matched_classes(docs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
         ends = lists.select(F.explode(F.concat(F.array("later"), "keys")).alias("set_key")).distinct()
         missing = ends if sets is None else written(ends.join(sets.select("set_key"), "set_key", "left_anti"))
         if sets is None or not missing.isEmpty():  # all that may be compared, in one pass over the texts
-            more = written(class_words(docs, place.join(missing, "set_key")))
+            more = written(class_words(docs, written(place.join(missing, "set_key"))))
             sets = more if sets is None else sets.unionAll(more)
         heads = written(lists.groupBy("later").agg(F.min(F.struct("doc", "line", "first_key")).getField("first_key").alias("earlier"), F.bool_or("more").alias("more")))
         first = written(_verified(heads.select("later", "earlier"), sets, t))
@@ -492,8 +570,8 @@ def matched_classes(docs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
         free_shuffles(docs.sparkSession)
         if still.isEmpty():
             return matched
-        few *= GROWTH
-        is_open = open_counters(still)
+        few = max(few * GROWTH, CANDIDATES // still.count())
+        is_open = open_flags(still)
 
 
 def kept_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
