@@ -110,11 +110,11 @@ def expand_degenerate(primer) -> Column:
 
 
 def all_kmers(spark: SparkSession, k: int, alphabet: str = RNA) -> DataFrame:
-    """(kmer): every word of length k over an alphabet, by k cross joins of the alphabet table."""
-    letters = spark.createDataFrame([(c,) for c in alphabet], "c string")
-    out = spark.createDataFrame([("",)], "kmer string")
+    """(kmer): every word of length k over an alphabet, which is unrolled k times."""
+    letters = F.array(*[F.lit(c) for c in alphabet])
+    out = spark.range(1).select(F.lit("").alias("kmer"))
     for _ in range(k):
-        out = out.crossJoin(letters).select(F.concat("kmer", "c").alias("kmer"))
+        out = out.withColumn("c", F.explode(letters)).select(F.concat("kmer", "c").alias("kmer"))
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import ALPHABETS, DNA
+from ..plans.numbering import numbered
 
 #: Protein states that don't count.
 NOT_STATES = ["-", ".", "X", "?"]
@@ -45,13 +46,27 @@ def mi_matrix(dna: DataFrame, protein: DataFrame, weights: DataFrame) -> DataFra
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] | None = None, id: str = "id") -> DataFrame:
     """df with q: the smallest p * n / rank from each rank upwards, at most 1."""
-    part = Window.partitionBy(*(by or []))
+    if not by:
+        return _whole_table_q(df, p, id)
+    part = Window.partitionBy(*by)
     order = [F.col(p), F.col(id)]
     x = df.withColumn("_r", F.row_number().over(part.orderBy(*order))).withColumn("_n", F.count("*").over(part))
     back = part.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return x.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(back))).drop("_r", "_n")
 
 
+def _whole_table_q(df: DataFrame, p: str, id: str, chunk: int = 1 << 16) -> DataFrame:
+    """The same over a whole table: ranks by ranges, and the running minimum by chunks of ranks, so no task has all rows."""
+    x = numbered(df, [F.col(p), F.col(id)], "_q_r")
+    n = x.agg(F.count("*").alias("_q_n"))
+    x = x.crossJoin(F.broadcast(n)).withColumn("_q_v", F.col(p) * F.col("_q_n") / F.col("_q_r")).withColumn("_q_chunk", F.floor((F.col("_q_r") - 1) / chunk))  # one row
+    least = x.groupBy("_q_chunk").agg(F.min("_q_v").alias("_q_least"))
+    later = least.select("_q_chunk", F.min("_q_least").over(Window.orderBy(F.col("_q_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_q_later"))  # a row per chunk
+    own = F.min("_q_v").over(Window.partitionBy("_q_chunk").orderBy(F.col("_q_r").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    y = x.withColumn("_q_own", own).join(F.broadcast(later), "_q_chunk")
+    return y.withColumn("q", F.least(F.lit(1.0), "_q_own", "_q_later")).drop("_q_r", "_q_n", "_q_v", "_q_chunk", "_q_own", "_q_later")
+
+
 def shuffled_within(df: DataFrame, group: str, seed: int, n: int) -> DataFrame:
     """(perm_id, seq_id, partner): n seeded permutations of ids inside their groups."""
     perms = df.select("seq_id", group).crossJoin(df.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("perm_id")))

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
 from ..plans.schemas import TREE
+from ..plans.shared import checkpointed
 from ..plans.shipping import ship_package
 from . import newick
 
@@ -66,8 +68,6 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
     Pointer doubling: each round joins paths of length up to n with themselves, so a tree of depth d
     takes log2 d rounds, each a shuffle on (tree_id, node)."""
-    from .cluster import _checkpoint
-
     length = F.coalesce("branch_length", F.lit(0.0))
     self_rows = nodes.select("tree_id", "node_id", F.col("node_id").alias("anc_id"), F.lit(0).alias("hops"), F.lit(0.0).alias("path_len"))
     step = nodes.filter("parent_id is not null").select("tree_id", "node_id", F.col("parent_id").alias("anc_id"), F.lit(1).alias("hops"), length.alias("path_len"))
@@ -76,7 +76,7 @@ def ancestors(nodes: DataFrame) -> DataFrame:
         top = known.filter(F.col("hops") == reach).select("tree_id", "node_id", F.col("anc_id").alias("mid"), F.col("hops").alias("h1"), F.col("path_len").alias("l1"))
         rest = known.select("tree_id", F.col("node_id").alias("mid"), "anc_id", F.col("hops").alias("h2"), F.col("path_len").alias("l2"))
         more = top.join(rest, ["tree_id", "mid"]).select("tree_id", "node_id", "anc_id", (F.col("h1") + F.col("h2")).alias("hops"), (F.col("l1") + F.col("l2")).alias("path_len"))
-        more = _checkpoint(more)
+        more = checkpointed(more)
         if more.isEmpty():
             return self_rows.unionByName(known)
         known, reach = known.unionByName(more), reach * 2
@@ -187,7 +187,9 @@ def rename_tips(nodes: DataFrame, names: DataFrame, strict: bool = True) -> Data
 
 def safe_names(ids: DataFrame) -> DataFrame:
     """(name, new_name): T000001 and so on in the order of ids."""
-    return ids.select("name").distinct().withColumn("new_name", F.concat(F.lit("T"), F.lpad(F.row_number().over(Window.orderBy("name")).cast("string"), 6, "0")))
+    x = numbered(ids.select("name").distinct(), [F.col("name")])
+    n = F.col("nth").cast("string")
+    return x.select("name", F.concat(F.lit("T"), F.when(F.length(n) < 6, F.lpad(n, 6, "0")).otherwise(n)).alias("new_name"))
 
 
 def reverse_children(nodes: DataFrame, names: list[str]) -> DataFrame:

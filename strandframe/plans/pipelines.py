@@ -48,3 +48,14 @@ def gene_trees(alignments: dict[str, str], folder: str, threads: int = 1, replic
 def distance_run(sketches: list[str], folder: str, threads: int = 8) -> tuple[str, list[str]]:
     """A list file's text and the command that computes all pairs' distances."""
     return "".join(f"{s}\n" for s in sketches), TOOLS["mash_triangle"].argv(threads=threads, list=Path(folder, "sketches.txt"))
+
+
+def genome_download(accessions: str, include: list[str], archive: str, folder: str) -> list[list[str]]:
+    """A dehydrated archive of the accessions of a file, unpacked, then filled with its sequences."""
+    if not include:
+        raise ValueError("nothing to include")
+    return [
+        TOOLS["genomes_download"].argv(accessions=accessions, include=",".join(dict.fromkeys(include)), output=archive),
+        ["unzip", "-o", archive, "-d", folder],
+        TOOLS["genomes_rehydrate"].argv(folder=folder),
+    ]

@@ -62,3 +62,16 @@ def compare(value: Column, op: str, threshold) -> Column:
 def rounded(c: Column, digits: int = 6) -> Column:
     """c rounded, with minus zero as zero."""
     return F.round(c, digits) + F.lit(0.0)
+
+
+#: Input of more splits than this is left as it is: it would be too much to move.
+SMALL_SPLITS = 8
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table's scan on all cores, where its files make far fewer splits than there are cores.
+
+    A small table in one file would keep one core busy; a larger one has splits enough."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if splits <= min(SMALL_SPLITS, cores // 2) else scan

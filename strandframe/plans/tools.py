@@ -104,6 +104,9 @@ TOOLS = {
         _spec("codeml", "codeml", "{control}"),
         _spec("rnafold", "RNAfold", "-i {input} -T {temperature} --noPS"),
         _spec("fastqc", "fastqc", "-o {output} {input}"),
+        _spec("genomes_download", "datasets", "download genome accession --inputfile {accessions} --include {include} --dehydrated --filename {output}"),
+        _spec("genomes_rehydrate", "datasets", "rehydrate --directory {folder}"),
+        _spec("genome_summaries", "datasets", "summary genome accession --inputfile {accessions}"),
         _spec("multiqc", "multiqc", "{input} --title {title} --outdir {output}"),
     )
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import maths, sequence
 from .operators import alignment, ancestral, cluster, expression, genome, information, kmers, plotdata, structure, tables, tree
-from .plans.session import rounded
+from .plans.session import rounded, spread
 from .sources import readers
 from .streaming import events as streams
 
@@ -26,7 +26,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    x = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(x) if name == "documents" else x  # long texts: a row is work
 
 
 def _long(df: DataFrame) -> DataFrame:
@@ -140,9 +141,16 @@ def composition_chi2(spark, d):
     return _six(alignment.composition_chi2(part_cells(spark, d), with_p=False), "gap_ambiguity_share", "chi2")
 
 
-@query()
+@query(f"""with {_CELLS}, known as (select * from cells where ch in ('A','C','D','E','F','G','H','I','K','L','M','N','P','Q','R','S','T','V','W','Y')),
+  share as (select aln_id, ch, count(*) * 1e0 / sum(count(*)) over (partition by aln_id) as share from known group by 1, 2),
+  own as (select aln_id, seq_id, count(*) as n from known group by 1, 2), seen as (select aln_id, seq_id, ch, count(*) as o from known group by 1, 2, 3),
+  chi as (select own.aln_id, own.seq_id, sum(pow(coalesce(o, 0) - n * share, 2) / (n * share)) as chi2 from own join share on own.aln_id = share.aln_id
+    left join seen on seen.aln_id = own.aln_id and seen.seq_id = own.seq_id and seen.ch = share.ch group by 1, 2),
+  p as (select aln_id, seq_id, chi2, greatest(0, 1 - list_sum(list_transform(generate_series(0, 300), lambda i: exp(-chi2 / 2 + (95e-1 + i) * ln(chi2 / 2) - lgamma(105e-1 + i))))) as p from chi)
+select aln_id, seq_id, round(chi2, 6) + 0e0 as chi2, round(p, 6) + 0e0 as p, p >= 0.05 as passes from p""")
 def composition_p_values(spark, d):
-    return alignment.passes_composition(alignment.composition_chi2(part_cells(spark, d)))
+    x = alignment.passes_composition(alignment.composition_chi2(part_cells(spark, d)), most_gaps=1.0)
+    return _six(x.select("aln_id", "seq_id", "chi2", "p", "passes"), "chi2", "p")
 
 
 @query(f"""with {_ALN}, g as (select aln_id, max(length(seq)) as sites, count(distinct seq_id) as taxa_present from aln group by 1)
@@ -152,12 +160,12 @@ def supermatrix_partitions(spark, d):
 
 
 @query("""with a as (select o_orderpriority as aln_id, c_nationkey as seq_id, lpad(cast(count(*) as varchar), 6, 'A') as seq from orders join customer on o_custkey = c_custkey
-    where o_orderstatus = 'P' group by 1, 2),
+    group by 1, 2),
   x as (select l.aln_id, n.seq_id, coalesce(a.seq, repeat('-', l.sites)) as seq from (select distinct seq_id from a) n
     cross join (select aln_id, max(length(seq)) as sites from a group by 1) l left join a on a.aln_id = l.aln_id and a.seq_id = n.seq_id)
 select seq_id, string_agg(seq, '' order by aln_id) as seq from x group by 1""")
 def supermatrix_sequences(spark, d):
-    o = table(spark, d, "orders").filter("o_orderstatus = 'P'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     a = o.groupBy(F.col("o_orderpriority").alias("aln_id"), F.col("c_nationkey").alias("seq_id")).agg(F.lpad(F.count("*").cast("string"), 6, "A").alias("seq"))
     return _long(alignment.supermatrix(a))
 
@@ -267,7 +275,10 @@ def expand_degenerate(spark, d):
     return part_dna(spark, d).select("p_partkey", F.size(F.array_distinct(sequence.expand_degenerate("seq"))).cast("long").alias("n"))
 
 
-@query()
+@query(f"""with x as (select p_partkey, replace(upper({_DNA}), 'U', 'T') as seq from part), c as (select p_partkey, i, substr(seq, 3 * i + 1, 3) as c from x, generate_series(0, 9) t(i) where 3 * i + 3 <= length(seq)),
+  a as (select p_partkey, i, case when regexp_full_match(c, '[TCAG][TCAG][TCAG]') then substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG',
+    (16 * (instr('TCAG', c[1]) - 1) + 4 * (instr('TCAG', c[2]) - 1) + instr('TCAG', c[3]))::int, 1) else 'X' end as aa from c)
+select p.p_partkey, coalesce(string_agg(aa, '' order by i), '') as protein from part p left join a on a.p_partkey = p.p_partkey group by 1""")
 def translated_codons(spark, d):
     return part_dna(spark, d).select("p_partkey", sequence.translate_codons("seq").alias("protein"))
 
@@ -281,15 +292,16 @@ def primer_amplicons(spark, d):
     return _long(genome.amplicons(s, "a", "an", 5, 20))
 
 
-@query()
+@query("""with x as (select p_partkey as id, 3 + p_partkey % 5 as k, 2 + p_size % 7 as n from part)
+select id, 0::bigint as start, (2 * k + n - 1)::bigint as "end", repeat('(', k::int) || repeat('.', n::int) || repeat(')', k::int) as hairpin_structure, repeat('G', (2 * k + n)::int) as hairpin_seq from x where n >= 3""")
 def hairpin_spans(spark, d):
     x = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.expr("repeat('(', 3 + p_partkey % 5)"), F.expr("repeat('.', 2 + p_size % 7)"), F.expr("repeat(')', 3 + p_partkey % 5)")).alias("structure"))
-    return structure.hairpins(x.withColumn("seq", F.expr("repeat('g', length(structure))")))
+    return _long(structure.hairpins(x.withColumn("seq", F.expr("repeat('g', length(structure))"))))
 
 
-@query()
+@query("select s_suppkey as id, 14e0 as score, (instr(s_name, 'lier#00') - 1)::bigint as start, (instr(s_name, 'lier#00') + 6)::bigint as \"end\" from supplier")
 def local_alignments(spark, d):
-    return structure.local_alignments(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("lier#00").alias("primer"), F.col("s_name").alias("sequence")))
+    return _long(structure.local_alignments(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("lier#00").alias("primer"), F.col("s_name").alias("sequence"))))
 
 
 # ---- grouped tables ---------------------------------------------------------------------------------------
@@ -557,9 +569,12 @@ def fold_change_genes(spark, d):
     return expression.significant_genes(x, 0.05, 2.0, names).select("contrast", "gene", "p_name", "regulation")
 
 
-@query()
+@query(f"""with {_STATS}, p as (select *, case df when 1 then 1 - 2 / pi() * atan(abs(t)) when 2 then 1 - abs(t) / sqrt(2 + t * t)
+    when 3 then 1 - 2 / pi() * (atan(abs(t) / sqrt(3)) + abs(t) / sqrt(3) / (1 + t * t / 3)) when 4 then 1 - 3e0 / 4 * abs(t) / sqrt(1 + t * t / 4) * (1 - t * t / (12 * (1 + t * t / 4))) end as p from z)
+select contrast, gene, round(p, 6) + 0e0 as pval, case when log2_fc > 0 then 'up' else 'down' end as regulation from p where p < 0.05 and abs(log2_fc) > log2(1.2)""")
 def contrast_p_values(spark, d):
-    return expression.significant_genes(line_contrasts(spark, d, True), 0.05, 1.2)
+    x = expression.significant_genes(line_contrasts(spark, d, True), 0.05, 1.2)
+    return x.select("contrast", "gene", rounded(F.col("pval")).alias("pval"), "regulation")
 
 
 @query("""with v as (select l_returnflag as x, l_linestatus as y, sum(l_quantity) as s from lineitem group by 1, 2), t as (select *, sum(s) over () as n, sum(s) over (partition by x) as px, sum(s) over (partition by y) as py from v)
@@ -573,13 +588,13 @@ def mi_inputs(spark, d):
     """Digits of suppliers' keys as bases, letters of their nations' names as residues."""
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     dna = alignment.cells(s.select(F.lit(0).alias("aln_id"), F.col("s_suppkey").alias("seq_id"), F.translate(F.lpad((F.col("s_suppkey") * 7919 % 1000000).cast("string"), 6, "0"), "0123456789", "ACGTACGTA-").alias("seq"))).drop("aln_id")
-    prot = alignment.cells(s.select(F.lit(0).alias("aln_id"), F.col("s_suppkey").alias("seq_id"), F.rpad("n_name", 5, "-").alias("seq"))).drop("aln_id")
+    prot = alignment.cells(s.select(F.lit(0).alias("aln_id"), F.col("s_suppkey").alias("seq_id"), F.rpad("n_name", 9, "-").alias("seq"))).drop("aln_id")
     return dna, prot, s.select(F.col("s_suppkey").alias("seq_id"), (F.col("s_acctbal") + 2000).alias("weight"), "n_regionkey")
 
 
-_MI = """s as (select s_suppkey as seq_id, translate(lpad(cast(s_suppkey * 7919 % 1000000 as varchar), 6, '0'), '0123456789', 'ACGTACGTA-') as dna, rpad(n_name, 5, '-') as prot, s_acctbal + 2000 as w, n_regionkey as grp
+_MI = """s as (select s_suppkey as seq_id, translate(lpad(cast(s_suppkey * 7919 % 1000000 as varchar), 6, '0'), '0123456789', 'ACGTACGTA-') as dna, rpad(n_name, 9, '-') as prot, s_acctbal + 2000 as w, n_regionkey as grp
     from supplier join nation on s_nationkey = n_nationkey),
-  d as (select seq_id, i - 1 as dna_pos, substr(dna, i, 1) as x from s, generate_series(1, 6) t(i)), p as (select seq_id, i - 1 as prot_pos, upper(substr(prot, i, 1)) as y from s, generate_series(1, 5) t(i))"""
+  d as (select seq_id, i - 1 as dna_pos, substr(dna, i, 1) as x from s, generate_series(1, 6) t(i)), p as (select seq_id, i - 1 as prot_pos, upper(substr(prot, i, 1)) as y from s, generate_series(1, 9) t(i))"""
 _VALID = "x in ('A', 'C', 'G', 'T') and y not in ('-', '.', 'X', '?') and w > 0"
 
 
@@ -686,7 +701,12 @@ def segment_trees(spark, d):
     return g.select("tree_id", F.concat(F.lit("("), F.regexp_replace("t", "[ ']", "_"), F.lit(");")).alias("newick"))
 
 
-@query()
+_SEGMENTS = "x as (select distinct c_mktsegment as t, n_regionkey as r, replace(n_name, ' ', '_') as n from customer join nation on c_nationkey = n_nationkey)"
+_NEWICK = """i as (select t, r, string_agg(n, ',' order by n) as s, count(*) as k from y group by 1, 2), o as (select t, string_agg(case when k > 1 then '(' || s || ')' else s end, ',' order by case when k > 1 then '(' || s || ')' else s end) as s, count(*) as k from i group by 1)
+select t as tree_id, case when k > 1 then '(' || s || ');' else s || ';' end as newick from o"""
+
+
+@query(f"with {_SEGMENTS}, y as (select * from x), {_NEWICK}")
 def newick_round_trip(spark, d):
     return tree.to_newick(tree.parse_newick(segment_trees(spark, d)))
 
@@ -706,7 +726,7 @@ def tree_alignment_match(spark, d):
     return x.select("tips", "ids", F.size("only_tips").cast("long").alias("only_tips"), F.size("only_ids").cast("long").alias("only_ids"))
 
 
-@query()
+@query(f"with {_SEGMENTS}, y as (select * from x where r < 3), {_NEWICK}")
 def pruned_trees(spark, d):
     names = table(spark, d, "nation").filter("n_regionkey < 3").select(F.regexp_replace("n_name", "[ ']", "_").alias("seq_id"))
     return tree.to_newick(tree.prune_to_sequences(tree.parse_newick(segment_trees(spark, d)), names))
@@ -737,9 +757,13 @@ def overflow_histogram(spark, d):
     return plotdata.overflow_histogram(table(spark, d, "lineitem"), "l_quantity", 40)
 
 
-@query()
+@query("""with w as (select event_type, value, min(value) over e as low, (max(value) over e - min(value) over e) / 512 as step, stddev_samp(value) over e * pow(count(*) over e, -0.2) as h from events window e as (partition by event_type)),
+  b as (select *, floor((value - low) / step) as bin from w), c as (select event_type, bin, count(*) as n, avg(value) as at from b group by 1, 2), v as (select event_type, value, any_value(h) as h from b group by 1, 2),
+  k as (select v.event_type, v.value, any_value(v.h) as h, sum(c.n * exp(-0.5 * pow((v.value - c.at) / v.h, 2))) as s, sum(c.n) as total from v join c on v.event_type = c.event_type group by 1, 2)
+select event_type, value, round(s / (total * h * 2.5066282746310002), 8) + 0e0 as density from k""")
 def density(spark, d):
-    return plotdata.kernel_density(table(spark, d, "events").select("event_type", "value"), "value", "event_type")
+    x = plotdata.kernel_density(table(spark, d, "events").select("event_type", "value"), "value", "event_type")
+    return x.groupBy("event_type", "value").agg(F.max(rounded(F.col("density"), 8)).alias("density"))
 
 
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) + 0e0 as total from events group by 1, 2")
@@ -754,3 +778,6 @@ select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*
 def user_sessions(spark, d):
     x = streams.sessions(table(spark, d, "events"), "30 minutes")
     return x.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+from . import file_queries, table_queries  # noqa: E402, F401  they register theirs

@@ -13,13 +13,29 @@ def _file() -> Column:
     return F.col("_metadata.file_name")
 
 
-def _lines(spark: SparkSession, path, numbered: bool = False) -> DataFrame:
-    """(file, line[, ord]).  ord is exact within a file whatever its splits: one file is one record's order."""
-    x = spark.read.text(path).select(_file().alias("file"), F.col("value").alias("line"))
+def _lines(spark: SparkSession, path, numbered: bool = False, separator: str | None = None) -> DataFrame:
+    """(path, file, line[, ord]); ord numbers a file's lines from 0, exactly, however the file is split.
+
+    A split's rows come in order, so a line's number is its place in the split plus the rows of the splits
+    before it.  One pass counts those, so nothing but a row per split is gathered, and no file is read whole."""
+    x = spark.read.text(path, lineSep=separator) if separator else spark.read.text(path)
+    x = x.select(F.col("_metadata.file_path").alias("path"), _file().alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
     if not numbered:
-        return x
-    whole = spark.read.text(path, wholetext=True).select(_file().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
-    return whole.withColumn("ord", F.col("ord").cast("long"))
+        return x.select("path", "file", "line")
+    splits = x.groupBy("path", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = splits.select("path", "_block", (before - F.col("_first")).alias("_shift"))
+    return x.join(F.broadcast(shift), ["path", "_block"]).select("path", "file", "line", (F.col("_row") + F.col("_shift")).alias("ord"))  # a row per split
+
+
+def _running(lines: DataFrame, flag: Column, name: str, chunk: int = 1 << 16) -> DataFrame:
+    """lines with how many of a file's lines up to each have the flag; by chunks of lines, so that no file is one task."""
+    x = lines.withColumn("_flag", flag.cast("long")).withColumn("_chunk", F.floor(F.col("ord") / chunk))
+    sums = x.groupBy("path", "_chunk").agg(F.sum("_flag").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum("_flag").over(Window.partitionBy("path", "_chunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("_own", own).join(sums.select("path", "_chunk", before.alias("_before")), ["path", "_chunk"])
+    return x.withColumn(name, F.col("_own") + F.col("_before")).drop("_flag", "_chunk", "_own", "_before")
 
 
 # ---- sequences ------------------------------------------------------------------------------------------
@@ -31,17 +47,15 @@ def read_fasta(spark: SparkSession, path, full_header: bool = False, key=None, u
     Records are split at '\\n>', so a '>' inside a header is safe and files split among tasks.  The id is
     the header's first word, the whole header, or key(header column).  White space leaves the sequence.
     Of a repeated id the last record stays unless keep='all'; a file without any header is an error."""
-    raw = spark.read.text(path, lineSep="\n>").select(_file().alias("source"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", r"^\s*>?", "").alias("r"), F.col("value").alias("v"))
-    raw = raw.filter(F.trim("r") != "")
+    raw = _lines(spark, path, numbered=True, separator="\n>").select("path", F.col("file").alias("source"), "ord", F.regexp_replace("line", r"^\s*>?", "").alias("r"), F.col("line").alias("v"))
     first = F.trim(F.regexp_extract("r", r"^([^\r\n]*)", 1))
     body = F.regexp_replace(F.regexp_replace("r", r"^[^\r\n]*", ""), r"\s+", "")
     head = first if full_header else F.regexp_extract(first, r"^(\S*)", 1)
     head = key(first) if key is not None else head
-    starts = F.row_number().over(Window.partitionBy("source").orderBy("ord")) == 1
-    bad = starts & ~F.ltrim("v").startswith(">")
-    x = raw.select("source", "ord", F.when(bad, F.raise_error(F.lit("no FASTA header before the first sequence"))).otherwise(head).alias("seq_id"), (F.upper(body) if upper else body).alias("seq"))
-    x = x.select("seq_id", "seq", "ord", "source")
-    return last_wins(x, ["source", "seq_id"]) if keep == "last" else x
+    bad = (F.col("ord") == 0) & ~F.ltrim("v").startswith(">")
+    x = raw.filter(F.trim("r") != "").select("path", "source", "ord", F.when(bad, F.raise_error(F.lit("no FASTA header before the first sequence"))).otherwise(head).alias("seq_id"), (F.upper(body) if upper else body).alias("seq"))
+    x = last_wins(x, ["path", "seq_id"]) if keep == "last" else x
+    return x.select("seq_id", "seq", "ord", "source")
 
 
 def two_word_key(header: Column) -> Column:
@@ -63,9 +77,9 @@ def read_fastq(spark: SparkSession, path) -> DataFrame:
     """(ord, read_id, length, seq, quality) of four-line records up to the first blank header; ids keep '@'."""
     x = _lines(spark, path, numbered=True).withColumn("rec", F.floor(F.col("ord") / 4)).withColumn("k", F.col("ord") % 4)
     pick = lambda i: F.max(F.when(F.col("k") == i, F.trim("line")))
-    r = x.groupBy("file", "rec").agg(pick(0).alias("h"), pick(1).alias("seq"), pick(3).alias("quality"))
-    stop = F.sum((F.coalesce("h", F.lit("")) == "").cast("int")).over(Window.partitionBy("file").orderBy("rec").rowsBetween(Window.unboundedPreceding, 0))
-    r = r.withColumn("_stop", stop).filter("_stop = 0")
+    r = x.groupBy("path", "file", "rec").agg(pick(0).alias("h"), pick(1).alias("seq"), pick(3).alias("quality"))
+    stop = x.filter((F.col("k") == 0) & (F.trim("line") == "")).groupBy("path").agg(F.min("rec").alias("_stop"))
+    r = r.join(F.broadcast(stop), "path", "left").filter("_stop is null or rec < _stop")  # a row per file
     return r.select("file", F.col("rec").alias("ord"), F.split_part("h", F.lit(" "), F.lit(1)).alias("read_id"), F.length("seq").alias("length"), "seq", "quality")
 
 
@@ -123,7 +137,7 @@ def _features(spark: SparkSession, path, attributes, least: int, strict: bool) -
     x = x if strict else x.filter(F.size("f") >= least)
     part = lambda i: F.get("f", i)
     return x.select(
-        "file", part(0).alias("seqid"), part(1).alias("source"), part(2).alias("type"), part(3).try_cast("int").alias("start"), part(4).try_cast("int").alias("end"),
+        "path", "file", part(0).alias("seqid"), part(1).alias("source"), part(2).alias("type"), part(3).try_cast("int").alias("start"), part(4).try_cast("int").alias("end"),
         part(5).alias("score"), part(6).alias("strand"), part(7).alias("phase"), attributes(F.coalesce(part(8), F.lit(""))).alias("attributes"), "ord",
     )
 
@@ -134,13 +148,13 @@ def read_gff(spark: SparkSession, path, feature_type: str | None = "gene", stric
     Of rows with one ID the last stays unless keep='all'."""
     x = _features(spark, path, lambda t: attribute_map(t, decode), 6 if strict else 9, strict).withColumn("id", F.try_element_at("attributes", F.lit("ID"))).filter("id is not null")
     x = x.filter(F.col("type") == feature_type) if feature_type else x
-    return last_wins(x, ["file", "id"]) if keep == "last" else x
+    return (last_wins(x, ["path", "id"]) if keep == "last" else x).drop("path")
 
 
 def read_gtf(spark: SparkSession, path, feature_type: str | None = "gene", keep: str = "last") -> DataFrame:
     x = _features(spark, path, gtf_attribute_map, 6, True).withColumn("id", F.try_element_at("attributes", F.lit("gene_id"))).filter("id is not null")
     x = x.filter(F.col("type") == feature_type) if feature_type else x
-    return last_wins(x, ["file", "id"]) if keep == "last" else x
+    return (last_wins(x, ["path", "id"]) if keep == "last" else x).drop("path")
 
 
 def gff_summary(spark: SparkSession, path) -> DataFrame:
@@ -260,8 +274,8 @@ def read_blast9(spark: SparkSession, path) -> DataFrame:
 def read_blast_best_hits(spark: SparkSession, path, accession_length: int = 15) -> DataFrame:
     """(accession, hit): the first word two lines below the line of significant alignments; the accession begins the file name."""
     x = _lines(spark, path, numbered=True)
-    banner = x.filter(F.col("line").contains("significant alignments")).groupBy("file").agg((F.min("ord") + 2).alias("ord"))
-    return x.join(banner, ["file", "ord"]).select(F.substring("file", 1, accession_length).alias("accession"), F.regexp_extract(F.trim("line"), r"^(\S+)", 1).alias("hit"))
+    banner = x.filter(F.col("line").contains("significant alignments")).groupBy("path").agg((F.min("ord") + 2).alias("ord"))
+    return x.join(banner, ["path", "ord"]).select(F.substring("file", 1, accession_length).alias("accession"), F.regexp_extract(F.trim("line"), r"^(\S+)", 1).alias("hit"))
 
 
 def read_blast_subjects(spark: SparkSession, path, which: str = "first", accession_length: int = 13) -> DataFrame:
@@ -269,12 +283,12 @@ def read_blast_subjects(spark: SparkSession, path, which: str = "first", accessi
     x = _lines(spark, path, numbered=True).filter(F.col("line").startswith(">"))
     hit = F.regexp_extract("line", r"^>\s*(\S+)", 1)
     s = F.struct("ord", hit.alias("hit"))
-    return x.groupBy("file").agg((F.min(s) if which == "first" else F.max(s)).alias("s")).select(F.substring("file", 1, accession_length).alias("accession"), "s.hit")
+    return x.groupBy("path", "file").agg((F.min(s) if which == "first" else F.max(s)).alias("s")).select(F.substring("file", 1, accession_length).alias("accession"), "s.hit")
 
 
 def profile_versions(spark: SparkSession, path) -> DataFrame:
     """(accession, versioned) of a profile database's ACC lines, the last wins."""
-    x = _lines(spark, path, numbered=True).filter(F.col("line").startswith("ACC")).select("ord", F.regexp_extract("line", r"^ACC\s+(\S+)", 1).alias("versioned"))
+    x = _lines(spark, path, numbered=True).filter(F.col("line").startswith("ACC")).select(F.struct("path", "ord").alias("ord"), F.regexp_extract("line", r"^ACC\s+(\S+)", 1).alias("versioned"))
     return last_wins(x.withColumn("accession", F.split_part("versioned", F.lit("."), F.lit(1))), ["accession"]).select("accession", "versioned")
 
 
@@ -292,8 +306,8 @@ def read_status_table(spark: SparkSession, path, assembly: str | None = None) ->
 def read_feature_counts(spark: SparkSession, path, remove: str = ".bam") -> DataFrame:
     """(gene, sample, n): columns 1 and 7 after the comment line; the sample is the header's name without `remove`."""
     x = _lines(spark, path, numbered=True).filter("ord > 0 and trim(line) <> ''").withColumn("f", F.split("line", "\t"))
-    head = x.filter("ord = 1").select("file", F.replace(F.get("f", 6), F.lit(remove), F.lit("")).alias("sample"))
-    return x.filter("ord > 1").join(F.broadcast(head), "file").select(F.get("f", 0).alias("gene"), "sample", F.get("f", 6).try_cast("long").alias("n"))  # a row per file
+    head = x.filter("ord = 1").select("path", F.replace(F.get("f", 6), F.lit(remove), F.lit("")).alias("sample"))
+    return x.filter("ord > 1").join(F.broadcast(head), "path").select(F.get("f", 0).alias("gene"), "sample", F.get("f", 6).try_cast("long").alias("n"))  # a row per file
 
 
 def read_coverage(spark: SparkSession, path) -> DataFrame:
@@ -317,16 +331,16 @@ def read_distance_triangle(spark: SparkSession, path, name_length: int = 15) ->
     """(a, b, dist) of a lower triangle: a row's name and its distances to the rows before it."""
     x = _lines(spark, path, numbered=True).filter("ord > 0 and trim(line) <> ''").withColumn("f", F.split(F.rtrim("line"), "\t"))
     name = F.substring(F.regexp_extract(F.get("f", 0), r"([^/]*)$", 1), 1, name_length)
-    r = x.select("file", "ord", name.alias("name"), F.slice("f", 2, 1_000_000).alias("d"))
-    cells = r.select("file", "ord", F.col("name").alias("a"), F.posexplode("d").alias("j", "v"))
-    return cells.join(r.select("file", (F.col("ord") - 1).alias("j"), F.col("name").alias("b")), ["file", "j"]).select("a", "b", F.col("v").try_cast("double").alias("dist")).filter("dist is not null")
+    r = x.select("path", "ord", name.alias("name"), F.expr("slice(f, 2, size(f))").alias("d"))
+    cells = r.select("path", "ord", F.col("name").alias("a"), F.posexplode("d").alias("j", "v"))
+    return cells.join(r.select("path", (F.col("ord") - 1).alias("j"), F.col("name").alias("b")), ["path", "j"]).select("a", "b", F.col("v").try_cast("double").alias("dist")).filter("dist is not null")
 
 
 def read_clusters(spark: SparkSession, path) -> DataFrame:
     """(cluster_id, ord, name, is_rep) of cluster listings."""
     x = _lines(spark, path, numbered=True).filter("trim(line) <> ''")
     head = F.col("line").startswith(">Cluster")
-    x = x.withColumn("block", F.sum(head.cast("int")).over(Window.partitionBy("file").orderBy("ord")))
+    x = _running(x, head, "block")
     return x.filter(~head).select((F.col("block") - 1).cast("int").alias("cluster_id"), "ord", F.regexp_extract("line", r">(.+?)\.\.\.", 1).alias("name"), F.rtrim("line").endswith("*").alias("is_rep"))
 
 
@@ -334,7 +348,7 @@ def read_folds(spark: SparkSession, path) -> DataFrame:
     """(id, seq, structure, energy) of three-line records; the energy is the last bracketed number."""
     x = _lines(spark, path, numbered=True).withColumn("rec", F.floor(F.col("ord") / 3)).withColumn("k", F.col("ord") % 3)
     pick = lambda i: F.max(F.when(F.col("k") == i, F.col("line")))
-    r = x.groupBy("file", "rec").agg(pick(0).alias("h"), pick(1).alias("seq"), pick(2).alias("s")).filter("h like '>%'")
+    r = x.groupBy("path", "rec").agg(pick(0).alias("h"), pick(1).alias("seq"), pick(2).alias("s")).filter("h like '>%'")
     return r.select(F.regexp_extract("h", r"^>\s*(\S+)", 1).alias("id"), F.trim("seq").alias("seq"), F.regexp_extract("s", r"^(\S+)", 1).alias("structure"), F.regexp_extract("s", r"\(\s*([-+0-9.]+)\s*\)\s*$", 1).try_cast("double").alias("energy"))
 
 
@@ -356,9 +370,9 @@ def read_stockholm(spark: SparkSession, path) -> DataFrame:
     """(aln_id, seq_id, seq): rows of Stockholm or Pfam text, '.' as '-', upper case; blocks of a sequence are joined."""
     x = _lines(spark, path, numbered=True).filter(~F.col("line").startswith("#") & ~F.col("line").startswith("/") & (F.length("line") > 5))
     w = F.split(F.trim("line"), r"\s+")
-    r = x.select("file", "ord", F.get(w, 0).alias("seq_id"), F.get(w, 1).alias("s"))
+    r = x.select("path", "file", "ord", F.get(w, 0).alias("seq_id"), F.get(w, 1).alias("s"))
     ordered = F.array_sort(F.collect_list(F.struct("ord", "s")))
-    return r.groupBy(F.col("file").alias("aln_id"), "seq_id").agg(F.replace(F.upper(F.array_join(F.transform(ordered, lambda p: p["s"]), "")), F.lit("."), F.lit("-")).alias("seq"))
+    return r.groupBy("path", F.col("file").alias("aln_id"), "seq_id").agg(F.replace(F.upper(F.array_join(F.transform(ordered, lambda p: p["s"]), "")), F.lit("."), F.lit("-")).alias("seq")).drop("path")
 
 
 def read_a2m_matches(spark: SparkSession, path) -> DataFrame:
