@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,11 +52,18 @@ def _scope(text: str, start: int, end: int, reach: int) -> tuple[int, int]:
     return (low if cut < 0 else cut + 2), (high if stop < 0 else stop)
 
 
-def _meets(parts: list[tuple[int, int]], starts: list[int], longest: int, scope: tuple[int, int]) -> bool:
-    """Whether a part (sorted by start) overlaps the scope."""
-    i = bisect_left(starts, scope[0] - longest)
-    j = bisect_right(starts, scope[1])
-    return any(e > scope[0] and s < scope[1] for s, e in parts[i:j])
+class _Parts:
+    """Spans by start, each with the furthest end up to it, so a meeting is found in one search."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [s for s, _ in spans]
+        self.ends = list(accumulate((e for _, e in spans), max))
+
+    def meet(self, scope: tuple[int, int]) -> bool:
+        """Whether a part overlaps the scope."""
+        j = bisect_left(self.starts, scope[1])
+        return j > 0 and self.ends[j - 1] > scope[0]
 
 
 def linked_spans(text: str, strong: list[tuple[int, int, int]], reach: int = 200) -> list[tuple[int, int, int]]:
@@ -65,26 +73,23 @@ def linked_spans(text: str, strong: list[tuple[int, int, int]], reach: int = 200
     Strong access ids count as identifiers, strong assignments and hex as secrets.  A weak span that
     overlaps a strong one is part of it and is not reported.
     """
-    taken = sorted((s, e) for s, _, e in strong)
-    tstarts, tlong = [s for s, _ in taken], max((e - s for s, e in taken), default=0)
+    taken = _Parts([(s, e) for s, _, e in strong])
     weak: dict[int, list[tuple[int, int]]] = {}
     for kind, pattern in ((3, IDENTIFIER), (4, WEAK_SECRET), (5, ENDPOINT)):
         found = []
         for m in pattern.finditer(text):
             s, e = m.span(1) if m.group(1) is not None else m.span(2)
-            if not _meets(taken, tstarts, tlong, (s, e)):
+            if not taken.meet((s, e)):
                 found.append((s, e))
         weak[kind] = found
-    secrets = sorted(weak[4] + [(s, e) for s, k, e in strong if k != 1])
-    others = sorted(weak[3] + weak[5] + [(s, e) for s, k, e in strong if k == 1])
-    index = {}
-    for name, parts in (("secret", secrets), ("other", others)):
-        index[name] = (parts, [s for s, _ in parts], max((e - s for s, e in parts), default=0))
+    index = {
+        "secret": _Parts(weak[4] + [(s, e) for s, k, e in strong if k != 1]),
+        "other": _Parts(weak[3] + weak[5] + [(s, e) for s, k, e in strong if k == 1]),
+    }
     out = []
     for kind, need in ((3, "secret"), (4, "other"), (5, "secret")):
-        parts, starts, longest = index[need]
-        if parts:
-            out += [(s, kind, e) for s, e in weak[kind] if _meets(parts, starts, longest, _scope(text, s, e, reach))]
+        if index[need].starts:
+            out += [(s, kind, e) for s, e in weak[kind] if index[need].meet(_scope(text, s, e, reach))]
     return out
 
 
@@ -121,4 +126,5 @@ def scan_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCHEMA of every document, as scan_secrets() has it."""
     return scan_secrets(documents(spark, sf_dir))

@@ -14,10 +14,8 @@ are the repeated windows, with no suffix compared again.  An interval's smallest
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship_package
-from .common import bytes_of, documents, map_rows, written
+from .common import bytes_of, documents, free_shuffles, map_rows, written
 from .wordhash import Powers, mix, xxhash_long
 
 LENGTH = 50
@@ -155,14 +153,27 @@ def _ranges(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def _slices(texts: list[bytes]):
-    at, size = 0, 0
+    """(pieces, owners, offset): the texts in slices of about _SLICE bytes.
+
+    owners are the pieces' text numbers.  A long text is cut into pieces that overlap by all but one byte of a window, a
+    slice each, which begin at offset in the text; each of its windows is whole in one piece only."""
+    own: list[int] = []
+    size = 0
     for i, t in enumerate(texts):
+        if len(t) > 2 * _SLICE:
+            if own:
+                yield [texts[k] for k in own], np.array(own), 0
+                own, size = [], 0
+            for at in range(0, len(t), _SLICE):
+                yield [t[at : at + _SLICE + LENGTH - 1]], np.array([i]), at
+            continue
+        own.append(i)
         size += len(t)
         if size >= _SLICE:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+            yield [texts[k] for k in own], np.array(own), 0
+            own, size = [], 0
+    if own:
+        yield [texts[k] for k in own], np.array(own), 0
 
 
 # ---- Burrows-Wheeler transforms ----------------------------------------------------------------------
@@ -299,9 +310,9 @@ def shared_keys(docs: DataFrame, buckets: int, groups: int, hot_above: int) -> D
     def ask(batch: pa.RecordBatch) -> dict:
         ids, texts = _doc_ids(batch.column(0)), bytes_of(batch)
         keys, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, b in _slices(texts):
-            x = Segments(texts[a:b])
-            keys.append(x.key), own.append(ids[a:b][x.owner])
+        for pieces, owners, _ in _slices(texts):
+            x = Segments(pieces)
+            keys.append(x.key), own.append(ids[owners[x.owner]])
         key, doc = np.concatenate(keys), np.concatenate(own)
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
@@ -363,20 +374,20 @@ def shared_keys(docs: DataFrame, buckets: int, groups: int, hot_above: int) -> D
 
 
 def _told_segments(texts: list[bytes], ids: np.ndarray, told: np.ndarray, hot: np.ndarray):
-    """(first text, Segments) per slice, of the segments whose key their document was told to be shared."""
+    """(owners, offset, Segments) per slice, of the segments whose key their document was told to be shared."""
     told = told[np.argsort(told["doc"], kind="stable")]
-    for a, b in _slices(texts):
-        x = Segments(texts[a:b])
+    for pieces, owners, offset in _slices(texts):
+        x = Segments(pieces)
         if len(x.key):
-            doc = ids[a:b][x.owner]
-            some = np.unique(ids[a:b])
+            doc = ids[owners[x.owner]]
+            some = np.unique(ids[owners])
             lo, hi = np.searchsorted(told["doc"], some), np.searchsorted(told["doc"], some, side="right")
             mine = told[np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
             with np.errstate(over="ignore"):
                 pair = lambda d, k: mix(mix(d.view(np.uint64)) + k)
                 x.take(_member(pair(doc, x.key), np.sort(pair(np.ascontiguousarray(mine["doc"]), mine["key"]))))
             x.split(hot)
-        yield a, x
+        yield owners, offset, x
 
 
 def _told_of(right: pa.Table) -> np.ndarray:
@@ -393,8 +404,8 @@ def dealt_segments(grouped, told, buckets: int, hot) -> DataFrame:
             ids = _doc_ids(left.column("doc_id"))
             texts = [t or b"" for t in left.column("text").cast(pa.binary()).to_pylist()]
             seen: list[np.ndarray] = []
-            for a, x in _told_segments(texts, ids, _told_of(right), hot.value):
-                content, doc = x.content(), ids[a:][x.owner]
+            for owners, _, x in _told_segments(texts, ids, _told_of(right), hot.value):
+                content, doc = x.content(), ids[owners[x.owner]]
                 order = _different(x.key, content, doc)
                 heads.append((x.key[order], content[order], doc[order], x.windows[order]))
                 bodies.append(_ranges(x.data, x.start[order], x.windows[order] + LENGTH - 1))
@@ -466,16 +477,6 @@ def judged_segments(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(judge, "part int, flags binary")
 
 
-def _collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of phases that are over; only a hint, nothing waits for it.
-
-    Plans die with the first collection, what they alone held with the second."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def dedup_substrings(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row of docs.
 
@@ -491,16 +492,17 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     rows = total * 2 // (LENGTH - MINIMISER + 2)
     narrow = docs.select("doc_id", "text")
     keys = written(shared_keys(narrow, max(1, math.ceil(rows / 600_000)), groups, max(HOT_DOCUMENTS, rows // HOT_KEYS)))
-    _collect_garbage(spark)
+    free_shuffles(spark)
     n = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = [np.frombuffer(r["hot"], np.uint64) for r in keys.filter("hot is not null").select("hot").collect()]
     hot = spark.sparkContext.broadcast(np.sort(np.concatenate(hot)) if hot else np.zeros(0, np.uint64))
-    told = keys.filter("told is not null").select("part", "told")
+    deal = lambda df: df.repartition(2 * groups, "part")  # noqa: E731  so that partitions follow the groups
+    told = deal(keys.filter("told is not null").select("part", "told"))
     part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_NO_DOC))), F.lit(groups)).cast("int")  # as _group_of() has it
-    grouped = narrow.select(part.alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    grouped = deal(narrow.select(part.alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
     buckets = max(1, math.ceil(n * (LENGTH + 16) / BUCKET_BYTES))
     flags = written(judged_segments(dealt_segments(grouped, told, buckets, hot)))
-    _collect_garbage(spark)
+    free_shuffles(spark)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
@@ -511,16 +513,20 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
         keys = np.frombuffer(b"".join(r for r, k in zip(rows, is_told) if k), _TOLD)
         flag = np.frombuffer(b"".join(r for r, k in zip(rows, is_told) if not k), _FLAG)
         flag = flag[np.argsort(flag["content"], kind="stable")]
-        slices = list(_told_segments(texts, ids, keys, hot.value))
-        contents = [x.content() if len(x.key) else np.zeros(0, np.uint64) for _, x in slices]
-        own = [ids[a:][x.owner] for a, x in slices]
+        slices, contents, own = [], [], []
+        for owners, offset, x in _told_segments(texts, ids, keys, hot.value):
+            slices.append((owners, offset, x))
+            contents.append(x.content() if len(x.key) else np.zeros(0, np.uint64))
+            own.append(ids[owners[x.owner]])
+            x.prefix = x.key = x.owner = None  # as large as many texts
         every = np.concatenate(contents) if contents else np.zeros(0, np.uint64)
         names, inverse = np.unique(every, return_inverse=True)
         low = np.full(len(names), _NO_DOC)
         if len(every):
             np.minimum.at(low, inverse, np.concatenate(own))
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for (a, x), content, doc in zip(slices, contents, own):
+        part_of_long: dict[int, np.ndarray] = {}
+        for (owners, offset, x), content, doc in zip(slices, contents, own):
             n = len(x.data)
             cover = np.zeros(n + 1, np.int32)
             if len(content):
@@ -539,8 +545,14 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
                         np.add.at(cover, x.start[on] + bit + LENGTH, -1)
             gone = np.cumsum(cover[:-1]) > 0
             bounds = np.append(x.text_starts, n)
-            for i in range(len(x.text_starts)):
-                g, d = gone[bounds[i] : bounds[i + 1]], x.data[bounds[i] : bounds[i + 1]]
+            for k, i in enumerate(owners.tolist()):
+                g, d = gone[bounds[k] : bounds[k + 1]], x.data[bounds[k] : bounds[k + 1]]
+                if len(texts[i]) > 2 * _SLICE:
+                    whole = part_of_long.setdefault(i, np.zeros(len(texts[i]), bool))
+                    whole[offset : offset + n] |= g
+                    if offset + _SLICE < len(whole):
+                        continue
+                    g, d = part_of_long.pop(i), np.frombuffer(texts[i], np.uint8)
                 removed = int(np.count_nonzero(g))
                 kept = d[~g].tobytes() if removed else d.tobytes()
                 out["n_bytes"].append(len(d))
@@ -555,10 +567,12 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
             names_out.append("kept")
         return pa.Table.from_arrays(arrays, names=names_out)
 
-    notes = told.select("part", F.col("told").alias("rows"), F.lit(True).alias("is_told")).unionAll(flags.select("part", F.col("flags").alias("rows"), F.lit(False).alias("is_told")))
+    both = keys.filter("told is not null").select("part", F.col("told").alias("rows"), F.lit(True).alias("is_told"))
+    notes = deal(both.unionAll(flags.select("part", F.col("flags").alias("rows"), F.lit(False).alias("is_told"))))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
     return grouped.groupBy("part").cogroup(notes.groupBy("part")).applyInArrow(cut, schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document, as dedup_substrings() has them."""
     return dedup_substrings(documents(spark, sf_dir), with_bytes=False)

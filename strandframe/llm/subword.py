@@ -437,4 +437,5 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_pieces, ids, lossless) of every document, as encode() has them."""
     return encode(documents(spark, sf_dir))

@@ -314,4 +314,5 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document, as score_toxicity() has them."""
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

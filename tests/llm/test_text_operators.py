@@ -151,6 +151,26 @@ def test_secret_rows(spark, odd, empty):
     assert x.spans == "assign:2:18" and x.base_sha256 == hashlib.sha256(b"assign:2:18").hexdigest()
 
 
+def test_parts_meet_as_by_trying_all():
+    rng = random.Random(1)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(1, 30)) for a in (rng.randrange(200) for _ in range(rng.randint(0, 12)))]
+        scope = (a := rng.randrange(200), a + rng.randint(1, 40))
+        assert secrets._Parts(spans).meet(scope) == any(e > scope[0] and s < scope[1] for s, e in spans)
+
+
+def test_secret_rows_brute(spark, small):
+    """Base counts, digest and spans of whole texts, each kind found for itself."""
+    kinds = ((r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, "assign"), (r"(AKIA[A-Z0-9]+)", 16, "access"), (r"([0-9a-f]+)", 32, "hex"))
+    got = by_id(secrets.scan_secrets(small[0]))
+    for i, t in small[1]:
+        found = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (p, least, name) in enumerate(kinds) for m in re.finditer(p, t) if m.end(1) - m.start(1) >= least]
+        r = got[i]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in found) for j in range(3)]
+        assert r.base_sha256 == hashlib.sha256(",".join(x for *_, x in sorted(found)).encode()).hexdigest()
+        assert {x for *_, x in found} <= set(r.spans.split(","))
+
+
 def test_secret_filter_skips_nothing(spark):
     texts = ["username: alice\npassphrase: tr0ub4dor", "host=db1\ncredentials = s3cr3tz!", "DB_USER=alice\nDB_PASS=sesame", "my_host: db1 MY_PWD: abcd"]
     texts += [f"login: bob\n{cue}: abcd99" for cue in "pass pwd passphrase credential credentials auth bearer privatekey private_key SIGNING_KEY password passwd secret token apikey api_key".split()]
@@ -201,6 +221,56 @@ def test_toxicity_in_the_long_tail(spark):
     assert sum(r.predicted == r.doc_id % 2 for r in held) / len(held) > 0.95
 
 
+def test_kneser_ney_brute(spark):
+    """The model's ratios against counts in dicts, over the same training texts."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["vile", "foul"] * (i % 3 == 0) + [f"w{k}" for k in range(12)], k=rng.randint(3, 15))) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    d = docs_of(spark, texts)
+    fold = {r.doc_id: r.f for r in d.select("doc_id", toxicity.fold(F.col("doc_id")).alias("f")).collect()}
+    train = {(t, int(i % 3 == 0)) for i, t in enumerate(texts) if fold[i] not in (0, toxicity.CALIBRATION_FOLD)}
+    model, _ = toxicity.fit(d, labels)
+    n, seen = [{}, {}], [{}, {}]
+    size = [sum(c == k for _, c in train) for k in (0, 1)]
+    for t, c in train:
+        w = t.split()
+        grams = w + list(zip(w, w[1:]))
+        for g in grams:
+            n[c][g] = n[c].get(g, 0) + 1
+        for g in set(grams):
+            seen[c][g] = seen[c].get(g, 0) + 1
+    every = set(n[0]) | set(n[1])
+    words, pairs = [g for g in every if isinstance(g, str)], [g for g in every if not isinstance(g, str)]
+    total = [sum(v for g, v in n[c].items() if isinstance(g, str)) for c in (0, 1)]
+    types = sum(isinstance(g, str) for c in (0, 1) for g in n[c])
+    often = [g for g in every if n[0].get(g, 0) + n[1].get(g, 0) >= toxicity.LEAST_TOKENS]
+    noise = 2 * math.log(len(often) + 2)
+
+    def sure(g):
+        t = [seen[c].get(g, 0) for c in (0, 1)]
+        x = 2 * sum(k * math.log(k * sum(size) / (sum(t) * size[c])) for c, k in enumerate(t) if k)
+        return (max(x, 0) / (max(x, 0) + noise)) ** 2
+
+    def p(c, w):
+        after = len({a for a, b in pairs if b == w})
+        return max(n[c].get(w, 0) - 0.75, 0) / total[c] + 0.75 * types / sum(total) * (1 + after) / (len(pairs) + len(words) + 1)
+
+    def p2(c, a, b):
+        share = lambda y: max(n[c].get((a, y), 0) - 0.75, 0) / max(n[c].get(a, 0), 1)
+        left = 1 - sum(share(y) for x, y in often_pairs if x == a)
+        return share(b) + max(left, 1e-3) * p(c, b)
+
+    often_words, often_pairs = {g for g in often if isinstance(g, str)}, {g for g in often if not isinstance(g, str)}
+    for t in texts[:60]:
+        w = t.split()
+        ratio = [math.log(p(1, x) / p(0, x)) * sure(x) if x in often_words else 0.0 for x in w]
+        for k in range(1, len(w)):
+            g = (w[k - 1], w[k])
+            if g in often_pairs:
+                ratio[k] = math.log(p2(1, *g) / p2(0, *g)) * sure(g)
+        assert model.evidence([t.encode()])[0, 0] == pytest.approx(sum(ratio) / len(w), abs=1e-9)
+
+
 def test_toxicity_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     r = by_id(toxicity.score_toxicity(odd, none))
@@ -285,6 +355,19 @@ def test_merge_of_transforms():
     assert [text[g[0]] for g in groups.values()] == sorted(text[g[0]] for g in groups.values()) and common[0] == 3
 
 
+def test_substrings_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "_SLICE", 400)
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcd é", k=n))
+    shared = text(900)
+    texts = [text(3000), text(700) + shared + text(1700), shared[100:] + text(3000) + shared[:300], "", text(100), shared]
+    want = brute_substrings(list(enumerate(texts)))
+    ids, pieces = np.arange(len(texts)), [t.encode() for t in texts]
+    starts = {(int(o), off + int(s) + k) for p, owners, off in substrings._slices(pieces) for x in [substrings.Segments(p)] for o, s, w in zip(owners[x.owner], x.start - x.text_starts[x.owner], x.windows) for k in range(w)}
+    assert starts == {(int(i), k) for i in ids for k in range(len(pieces[i]) - 49)}
+    assert as_rows(substrings.dedup_substrings(docs_of(spark, texts))) == want
+
+
 # ---- 5: mixing ------------------------------------------------------------------------------------------
 
 
