@@ -153,27 +153,28 @@ def _ranges(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def _slices(texts: list[bytes]):
-    """(pieces, owners, offset): the texts in slices of about _SLICE bytes.
+    """(pieces, owners, offset, last): the texts in slices of about _SLICE bytes.
 
     owners are the pieces' text numbers.  A long text is cut into pieces that overlap by all but one byte of a window, a
-    slice each, which begin at offset in the text; each of its windows is whole in one piece only."""
+    slice each, which begin at offset in the text, and last says that no more follow; each of its windows is whole in
+    one piece only."""
     own: list[int] = []
     size = 0
     for i, t in enumerate(texts):
         if len(t) > 2 * _SLICE:
             if own:
-                yield [texts[k] for k in own], np.array(own), 0
+                yield [texts[k] for k in own], np.array(own), 0, True
                 own, size = [], 0
             for at in range(0, len(t), _SLICE):
-                yield [t[at : at + _SLICE + LENGTH - 1]], np.array([i]), at
+                yield [t[at : at + _SLICE + LENGTH - 1]], np.array([i]), at, at + _SLICE >= len(t)
             continue
         own.append(i)
         size += len(t)
         if size >= _SLICE:
-            yield [texts[k] for k in own], np.array(own), 0
+            yield [texts[k] for k in own], np.array(own), 0, True
             own, size = [], 0
     if own:
-        yield [texts[k] for k in own], np.array(own), 0
+        yield [texts[k] for k in own], np.array(own), 0, True
 
 
 # ---- Burrows-Wheeler transforms ----------------------------------------------------------------------
@@ -310,7 +311,7 @@ def shared_keys(docs: DataFrame, buckets: int, groups: int, hot_above: int) -> D
     def ask(batch: pa.RecordBatch) -> dict:
         ids, texts = _doc_ids(batch.column(0)), bytes_of(batch)
         keys, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for pieces, owners, _ in _slices(texts):
+        for pieces, owners, *_ in _slices(texts):
             x = Segments(pieces)
             keys.append(x.key), own.append(ids[owners[x.owner]])
         key, doc = np.concatenate(keys), np.concatenate(own)
@@ -374,9 +375,9 @@ def shared_keys(docs: DataFrame, buckets: int, groups: int, hot_above: int) -> D
 
 
 def _told_segments(texts: list[bytes], ids: np.ndarray, told: np.ndarray, hot: np.ndarray):
-    """(owners, offset, Segments) per slice, of the segments whose key their document was told to be shared."""
+    """(owners, offset, last, Segments) per slice, of the segments whose key their document was told to be shared."""
     told = told[np.argsort(told["doc"], kind="stable")]
-    for pieces, owners, offset in _slices(texts):
+    for pieces, owners, offset, last in _slices(texts):
         x = Segments(pieces)
         if len(x.key):
             doc = ids[owners[x.owner]]
@@ -387,7 +388,7 @@ def _told_segments(texts: list[bytes], ids: np.ndarray, told: np.ndarray, hot: n
                 pair = lambda d, k: mix(mix(d.view(np.uint64)) + k)
                 x.take(_member(pair(doc, x.key), np.sort(pair(np.ascontiguousarray(mine["doc"]), mine["key"]))))
             x.split(hot)
-        yield owners, offset, x
+        yield owners, offset, last, x
 
 
 def _told_of(right: pa.Table) -> np.ndarray:
@@ -404,7 +405,7 @@ def dealt_segments(grouped, told, buckets: int, hot) -> DataFrame:
             ids = _doc_ids(left.column("doc_id"))
             texts = [t or b"" for t in left.column("text").cast(pa.binary()).to_pylist()]
             seen: list[np.ndarray] = []
-            for owners, _, x in _told_segments(texts, ids, _told_of(right), hot.value):
+            for owners, _, _, x in _told_segments(texts, ids, _told_of(right), hot.value):
                 content, doc = x.content(), ids[owners[x.owner]]
                 order = _different(x.key, content, doc)
                 heads.append((x.key[order], content[order], doc[order], x.windows[order]))
@@ -514,8 +515,8 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
         flag = np.frombuffer(b"".join(r for r, k in zip(rows, is_told) if not k), _FLAG)
         flag = flag[np.argsort(flag["content"], kind="stable")]
         slices, contents, own = [], [], []
-        for owners, offset, x in _told_segments(texts, ids, keys, hot.value):
-            slices.append((owners, offset, x))
+        for owners, offset, last, x in _told_segments(texts, ids, keys, hot.value):
+            slices.append((owners, offset, last, x))
             contents.append(x.content() if len(x.key) else np.zeros(0, np.uint64))
             own.append(ids[owners[x.owner]])
             x.prefix = x.key = x.owner = None  # as large as many texts
@@ -526,7 +527,7 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
             np.minimum.at(low, inverse, np.concatenate(own))
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         part_of_long: dict[int, np.ndarray] = {}
-        for (owners, offset, x), content, doc in zip(slices, contents, own):
+        for (owners, offset, last, x), content, doc in zip(slices, contents, own):
             n = len(x.data)
             cover = np.zeros(n + 1, np.int32)
             if len(content):
@@ -547,10 +548,10 @@ def dedup_substrings(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
             bounds = np.append(x.text_starts, n)
             for k, i in enumerate(owners.tolist()):
                 g, d = gone[bounds[k] : bounds[k + 1]], x.data[bounds[k] : bounds[k + 1]]
-                if len(texts[i]) > 2 * _SLICE:
+                if len(g) < len(texts[i]):
                     whole = part_of_long.setdefault(i, np.zeros(len(texts[i]), bool))
                     whole[offset : offset + n] |= g
-                    if offset + _SLICE < len(whole):
+                    if not last:
                         continue
                     g, d = part_of_long.pop(i), np.frombuffer(texts[i], np.uint8)
                 removed = int(np.count_nonzero(g))

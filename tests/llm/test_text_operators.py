@@ -363,7 +363,7 @@ def test_substrings_of_long_texts(spark, monkeypatch):
     texts = [text(3000), text(700) + shared + text(1700), shared[100:] + text(3000) + shared[:300], "", text(100), shared]
     want = brute_substrings(list(enumerate(texts)))
     ids, pieces = np.arange(len(texts)), [t.encode() for t in texts]
-    starts = {(int(o), off + int(s) + k) for p, owners, off in substrings._slices(pieces) for x in [substrings.Segments(p)] for o, s, w in zip(owners[x.owner], x.start - x.text_starts[x.owner], x.windows) for k in range(w)}
+    starts = {(int(o), off + int(s) + k) for p, owners, off, _ in substrings._slices(pieces) for x in [substrings.Segments(p)] for o, s, w in zip(owners[x.owner], x.start - x.text_starts[x.owner], x.windows) for k in range(w)}
     assert starts == {(int(i), k) for i in ids for k in range(len(pieces[i]) - 49)}
     assert as_rows(substrings.dedup_substrings(docs_of(spark, texts))) == want
 
