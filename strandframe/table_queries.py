@@ -142,10 +142,10 @@ def jittered_points(spark, d):
 
 
 @query("""with x as (select p_size * 1e0 + case when p_partkey % 3 = 0 then 5000 else 0 end as v, p_partkey % 3 = 0 as high from part)
-select round(count(*) * 1e0 / (select count(*) from x), 3) + 0e0 as weight, round(avg(v), 3) + 0e0 as mean, round(var_pop(v), 2) + 0e0 as variance from x group by high""")
+select round(count(*) * 1e0 / (select count(*) from x), 2) + 0e0 as weight, round(avg(v), 3) + 0e0 as mean, round(var_pop(v), 2) + 0e0 as variance from x group by high""")
 def mixture(spark, d):
     x = table(spark, d, "part").select((F.col("p_size") + F.when(F.col("p_partkey") % 3 == 0, 5000.0).otherwise(0.0)).alias("v"))
-    return spark.createDataFrame([(round(w, 3), round(m, 3), round(v, 2)) for w, m, v in plotdata.gaussian_mixture(x, "v", 2)], "weight double, mean double, variance double")
+    return spark.createDataFrame([(round(w, 2), round(m, 3), round(v, 2)) for w, m, v in plotdata.gaussian_mixture(x, "v", 2)], "weight double, mean double, variance double")
 
 
 # ---- trees ------------------------------------------------------------------------------------------------------
