@@ -10,6 +10,8 @@ from ..plans.numbering import numbered
 
 #: Protein states that don't count.
 NOT_STATES = ["-", ".", "X", "?"]
+#: Decimal digits to which a permutation's value ties with the observed one.
+TIE = 9
 
 
 def _finite(w: Column) -> Column:
@@ -79,7 +81,8 @@ def permutation_test(dna: DataFrame, protein: DataFrame, weights: DataFrame, per
     """(prot_pos, dna_pos, mi, p, q, fwer_p) from a table of permutations(perm_id, seq_id, partner).
 
     A protein is read from the partner; its weight goes with it unless weight_with_protein is false.
-    p-values add one, and exceedance counts ties; fwer_p uses each permutation's largest value."""
+    p-values add one, and exceedance counts ties; fwer_p uses each permutation's largest value.  Values are compared
+    to TIE digits, since one table's sums in another order differ in the last bits."""
     n = permutations.select("perm_id").distinct()
     own = dna.select("seq_id").distinct().select(F.lit(0).alias("perm_id"), "seq_id", F.col("seq_id").alias("partner"))
     pairs = own.unionByName(permutations.select("perm_id", "seq_id", "partner"))
@@ -87,7 +90,7 @@ def permutation_test(dna: DataFrame, protein: DataFrame, weights: DataFrame, per
     p = protein.select(F.col("seq_id").alias("partner"), F.col("pos").alias("prot_pos"), F.col("ch").alias("y"))
     w = weights.select(F.col("seq_id").alias("partner" if weight_with_protein else "seq_id"), F.col("weight").alias("w"))
     x = pairs.join(d, "seq_id").join(p, "partner").join(w, "partner" if weight_with_protein else "seq_id")
-    mi = weighted_mi(x, ["perm_id", "prot_pos", "dna_pos"])
+    mi = weighted_mi(x, ["perm_id", "prot_pos", "dna_pos"]).withColumn("mi", F.round("mi", TIE))
     seen = mi.filter("perm_id = 0").drop("perm_id")
     null = mi.filter("perm_id > 0")
     count = n.agg(F.count("*").alias("_n"))

@@ -126,6 +126,17 @@ def test_permutations(spark):
     assert r.mi == pytest.approx(2.0) and 0 < r.p <= 1 and r.q >= r.p and 0 < r.fwer_p <= 1
 
 
+def test_permutation_ties(spark):
+    """Partners of one base and one residue change no value, in whatever order their weights are added."""
+    n = 60
+    c = spark.createDataFrame([(i, 0, "AC"[i % 2]) for i in range(n)], "seq_id int, pos int, ch string")
+    p = spark.createDataFrame([(i, 0, "KR"[i % 2] if i % 6 else "E") for i in range(n)], "seq_id int, pos int, ch string")
+    w = spark.createDataFrame([(i, 0.1 + (i * 0.377) % 1) for i in range(n)], "seq_id int, weight double")
+    perm = spark.createDataFrame([(k, i, (i + 6 * k) % n) for k in range(1, 9) for i in range(n)], "perm_id int, seq_id int, partner int")
+    r = information.permutation_test(c, p, w, perm).first()
+    assert r.p == r.fwer_p == 1
+
+
 def test_special_functions():
     assert maths.incomplete_beta(2, 3, 0.5) == pytest.approx(0.6875)
     assert maths.upper_gamma(1, 2.0) == pytest.approx(math.exp(-2))
