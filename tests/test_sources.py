@@ -172,3 +172,14 @@ def test_directories_and_datasets(spark, tmp_path):
     strip = W.colour_strip(spark.createDataFrame([("n1", "#1", "g", 0), ("n2", "#1", "g", 1)], "node string, colour string, group string, ord int"))
     assert strip.count("g") >= 3 and "LEGEND_LABELS,g\n" in strip
     assert W.write_if_changed(str(tmp_path / "w.txt"), "a") and not W.write_if_changed(str(tmp_path / "w.txt"), "a")
+
+
+def test_count_files_keep_their_order(spark, tmp_path):
+    """Enough genes that the writer's own sort would not leave a file's header first."""
+    from pyspark.sql import functions as F
+
+    from strandframe import file_queries
+
+    spark.range(900_000).selectExpr("id div 6 as l_partkey", "id % 6 as l_suppkey", "1.0d as l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = file_queries.feature_count_files(spark, str(tmp_path)).groupBy("sample").agg(F.count("*").alias("n"), F.countDistinct("gene").alias("genes")).collect()
+    assert sorted((r["sample"], r.n, r.genes) for r in got) == [(str(k), 150_000, 150_000) for k in range(6)]
