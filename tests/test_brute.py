@@ -160,3 +160,18 @@ def test_download_commands(tmp_path):
 def test_phylip_lines_have_a_header(spark):
     x = spark.createDataFrame([("a", "AC"), ("b", "GT")], "seq_id string, seq string")
     assert sorted(r.value for r in sinks.phylip_lines(x).select("value").collect()) == ["2 2", "a  AC", "b  GT"]
+
+
+def test_rows_of_a_wide_node(monkeypatch):
+    """A node's children are numbered in one pass, not searched one by one."""
+
+    class Children(list):
+        def index(self, *_):
+            raise AssertionError("children are searched")
+
+    root = newick.Node("r")
+    root.children = Children()
+    for k in range(5):
+        root.add(newick.Node(f"l{k}", 1.0))
+    assert [r[:3] for r in newick.rows(root)] == [(0, None, 0)] + [(k + 1, 0, k) for k in range(5)]
+    assert [x.name for x in newick.parse("(a b[note]_c:1.5,'it''s (d)':2);").leaves()] == ["a b_c", "it's (d)"]
