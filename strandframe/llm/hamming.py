@@ -40,7 +40,10 @@ def first_place(difference: Column, n: int) -> Column:
 def close_pairs(codes: DataFrame, distance: int, n: int) -> DataFrame:
     """(a, b), a < b: different codes(fp) at most `distance` bits apart of which some segment differs in one
     bit at most.  The join meets a pair at each key it shares; its condition verifies the whole codes and
-    lets the pair through at one key only, so links are made once and no distinct follows."""
+    lets the pair through at one key only, so links are made once and no distinct follows.
+
+    The keys are as many rows a code as it has bits, which a plan's sizes don't tell: by its codes' size alone the
+    index would be broadcast, and the driver would hold it.  So both sides are sorted and merged."""
     index = codes.select("fp", F.explode(variants(F.col("fp"), n)).alias("key"))
     x, y = index.alias("x"), index.alias("y")
     difference = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
@@ -48,4 +51,4 @@ def close_pairs(codes: DataFrame, distance: int, n: int) -> DataFrame:
         (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(difference) <= distance)
         & (F.shiftrightunsigned("x.key", 40) == first_place(difference, n))
     )
-    return x.join(y, close).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    return x.hint("merge").join(y, close).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
