@@ -89,17 +89,34 @@ def retrieved(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return near & (np.bitwise_count(d) <= radius)
 
 
+def _some_links(some: np.ndarray, x: np.ndarray, least: float, draw, most: int = 100_000, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the links between some, which are x's first, and x: all, or `most` drawn from all of them.
+
+    A few rows' cosines are held at a time: first to count the links, and then to take those that were drawn."""
+
+    def linked(at: int) -> np.ndarray:
+        s = some[at : at + rows] @ x.T >= least
+        s[np.arange(len(s)), at + np.arange(len(s))] = False
+        return s
+
+    total = sum(int(linked(at).sum()) for at in range(0, len(some), rows))
+    wanted = np.arange(total) if total <= most else np.unique(draw.integers(total, size=most))
+    i, j, seen = [], [], 0
+    for at in range(0, len(some), rows):
+        a, b = np.nonzero(linked(at))
+        own = wanted[np.searchsorted(wanted, seen) : np.searchsorted(wanted, seen + len(a))] - seen
+        i.append(at + a[own])
+        j.append(b[own])
+        seen += len(a)
+    return np.concatenate(i or [np.zeros(0, int)]), np.concatenate(j or [np.zeros(0, int)])
+
+
 def learn_tables(x: np.ndarray, least: float) -> tuple[list, int]:
     """(rotations, radius) that retrieve enough of the links between MEASURED vectors of the sample x and all of
     it, and of pairs made of them at the threshold, half of them turned at random and half towards others."""
     draw = np.random.default_rng(9)
     some = x[:MEASURED]
-    s = some @ x.T >= least
-    s[np.arange(len(some)), np.arange(len(some))] = False
-    i, j = np.nonzero(s)
-    if len(i) > 100_000:
-        pick = draw.choice(len(i), 100_000, replace=False)
-        i, j = i[pick], j[pick]
+    i, j = _some_links(some, x, least, draw)
     to = np.where((np.arange(len(some)) % 2 == 0)[:, None], draw.normal(size=some.shape), x[draw.integers(len(x), size=len(some))])
     away = to - (to * some).sum(axis=1)[:, None] * some
     size = np.sqrt((away * away).sum(axis=1))
@@ -167,11 +184,24 @@ def _cells(coded: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return sizes.select("code"), written(packed)
 
 
-def _of_width(whole: DataFrame, width: int, least: float, sample: int) -> DataFrame:
-    """(embedding, links, comp) of the different usable vectors of that length."""
+def _first_by_hash(vectors: DataFrame, rows: int, sample: int) -> DataFrame:
+    """The first `sample` of so many rows in the order of a hash of vec_id.
+
+    Rows above twice the hash that should bound them are left out before the sort, so that not every task sends `sample`
+    rows to the one that merges them; where ids repeat so much that too few are below it, all are sorted."""
+    hashed = vectors.withColumn("_h", F.xxhash64("vec_id"))
+    if rows > 4 * sample:
+        below = hashed.filter(F.col("_h") < -(2**63) + int(2**64 * (2 * sample / rows)))
+        if below.count() >= sample:
+            hashed = below
+    return hashed.orderBy("_h", "vec_id").limit(sample).drop("_h")
+
+
+def _of_width(whole: DataFrame, width: int, rows: int, least: float, sample: int) -> DataFrame:
+    """(embedding, links, comp) of the different usable vectors of that length, which so many rows have."""
     spark = whole.sparkSession
     distinct = whole.filter(F.size("embedding") == width).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    few = whole.filter(F.size("embedding") == width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
+    few = _first_by_hash(whole.filter(F.size("embedding") == width), rows, sample).select("embedding").toArrow()
     taught = [normalised(parts_of(b.column(0), width)) for b in few.to_batches() if b.num_rows]
     taught = np.concatenate([x[ok] for x, ok in taught])
     rotations, radius = learn_tables(taught, least) if len(taught) else ([learn_rotation(np.eye(width))], RADIUS)
@@ -245,7 +275,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, sample: int = SAMPLE)
     lengths = whole.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).collect()
     out: DataFrame | None = None
     for r in lengths:
-        own = _of_width(whole, r["width"], least, sample)
+        own = _of_width(whole, r["width"], r["count"], least, sample)
         out = own if out is None else out.unionAll(own)
     if out is None:
         return whole.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
