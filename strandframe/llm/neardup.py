@@ -1,9 +1,11 @@
 """Near copies by the Jaccard similarity of word shingles.
 
-A text is the set of its word shingles; equal sets are one class.  BANDS bands of ROWS min-hashes each
-retrieve candidates: two sets of similarity 0.8 share a band but for 2 in a million cases.  Every link is
-verified on the whole sets.  Classes are compared with the smallest of each band first, and then with those
-of the band that this has not put into their group, so a large group of near copies is linked by a star.
+A text is the set of its word shingles; equal sets are one class.  SimHash fingerprints over the shingles
+retrieve the first candidates, by deletion variants.  What they can't reach at the similarity asked for, BANDS
+bands of ROWS min-hashes each retrieve: two sets of similarity 0.8 share a band but for 2 in a million cases.
+Every link is verified on the whole sets.  Bands are only asked about classes that the fingerprints have not put
+into one group: classes are compared with the smallest of each band first, and then with those of the band that this
+has not put into their group, so a large group of near copies is linked by a star.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, components, free_shuffles, give_back, map_rows, written
+from .hamming import close_pairs
 from .lines import Flags, _slices, longs, united
 from .wordhash import mix, words
 
@@ -83,12 +86,15 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, set_key, n, sketch, keys) of every row; without words all but doc_id are 0, empty and empty."""
+def sketched(docs: DataFrame, shingle: int, fingerprint) -> DataFrame:
+    """(doc_id, set_key, n, sketch, keys, fp) of every row; without words all but doc_id are 0, empty and empty.
+
+    fingerprint(text, shingle) is the text's SimHash as a signed number."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
         texts = bytes_of(batch)
         keys, sizes, sketch, bands = [], [], [], []
+        fps = np.array([fingerprint(t, shingle) for t in texts], np.int64)
         for a, b in _slices(texts):
             x = Shingles(texts[a:b], shingle)
             s = x.sketches()
@@ -98,9 +104,9 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
             keys.append(x.keys), sizes.append(x.sizes)
             sketch += own
             bands += own_bands
-        return {"doc_id": batch.column(0), "set_key": np.concatenate(keys), "n": np.concatenate(sizes), "sketch": sketch, "keys": bands}
+        return {"doc_id": batch.column(0), "set_key": np.concatenate(keys), "n": np.concatenate(sizes), "sketch": sketch, "keys": bands, "fp": fps}
 
-    return map_rows(docs, ["doc_id", "text"], kernel, "doc_id long, set_key long, n long, sketch binary, keys array<long>")
+    return map_rows(docs, ["doc_id", "text"], kernel, "doc_id long, set_key long, n long, sketch binary, keys array<long>, fp long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -174,19 +180,41 @@ def _groups(links: DataFrame, classes: DataFrame) -> DataFrame:
     return written(x.select("set_key", F.coalesce("component", "doc_id").alias("component")))
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, t: float = SIMILARITY) -> DataFrame:
+def fingerprint_pairs(prints: DataFrame, distance: int) -> DataFrame:
+    """(a, b), a < b: candidate pairs of prints(set_key, fp) by fingerprints at most `distance` bits apart.
+
+    Classes of one fingerprint go with the smallest of them, and a fingerprint with the smallest of those close to it, so
+    there are at most two pairs a class."""
+    first = written(prints.groupBy("fp").agg(F.min("set_key").alias("low")))
+    close = close_pairs(first.select("fp"), distance, distance // 2 + 1).groupBy("b").agg(F.min("a").alias("a"))
+    x = close.join(first.select(F.col("fp").alias("a"), F.col("low").alias("la")), "a").join(first.select(F.col("fp").alias("b"), F.col("low").alias("lb")), "b")
+    x = x.select(F.col("la").alias("x"), F.col("lb").alias("y")).unionAll(prints.join(first, "fp").select("set_key", "low"))
+    return x.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs(a, b) whose ends are in different groups(set_key, component)."""
+    name = lambda c: groups.select(F.col("set_key").alias(c), F.col("component").alias(f"g{c}"))
+    return pairs.join(name("a"), "a").join(name("b"), "b").filter("ga <> gb").select("a", "b")
+
+
+def near_copies(docs: DataFrame, fingerprint, distance: int, shingle: int = SHINGLE, t: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row: documents linked directly or through others share a component,
     which is named by its smallest doc_id.  Documents without words are one class.  A null doc_id is in the
     component of its own set and links nothing."""
     narrow = docs.select("doc_id", "text")
-    rows = written(sketched(narrow, shingle))
+    rows = written(sketched(narrow, shingle, fingerprint))
     known = rows.filter("doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "sketch", "keys")).alias("x"))
     classes = written(known.select("set_key", "x.*"))
+    prints = rows.filter("doc_id is not null and n > 0").select("set_key", "fp").distinct()
+    printed = _verified(written(fingerprint_pairs(prints, distance)), narrow, classes, shingle, t)
+    by_print = _groups(printed, classes)
     bands = classes.filter("n > 0").select("set_key", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("set_key").alias("low"), F.count("*").alias("size")).filter("size > 1").select("key", "low")
     bands = written(bands.join(written(shared), "key"))
-    stars = written(bands.filter("set_key <> low").select(F.col("low").alias("a"), F.col("set_key").alias("b")).distinct())
-    links = _verified(stars, narrow, classes, shingle, t)
+    stars = bands.filter("set_key <> low").select(F.col("low").alias("a"), F.col("set_key").alias("b")).distinct()
+    stars = written(_apart(stars, by_print))
+    links = printed.unionAll(_verified(stars, narrow, classes, shingle, t))
     groups = _groups(links, classes)
     placed = written(bands.join(groups, "set_key").select("key", "set_key", "component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")

@@ -62,6 +62,12 @@ def bit_counts(text: bytes, shingle: int) -> tuple[np.ndarray, int]:
     return ones, n
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The text's SimHash as a signed number: a bit is 1 if set in over half of the shingles' hashes."""
+    ones, n = bit_counts(text, shingle)
+    return int(np.packbits(ones * 2 > n).view(">i8")[0])
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp long): a bit is 1 if set in over half of the word shingles' XXH64.
 
@@ -70,11 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        out = np.zeros(batch.num_rows, np.uint64)
-        for i, text in enumerate(bytes_of(batch)):
-            ones, n = bit_counts(text, shingle)
-            out[i] = np.packbits(ones * 2 > n).view(">u8")[0]
-        return {"doc_id": batch.column(0), "fp": out.view(np.int64)}
+        return {"doc_id": batch.column(0), "fp": np.array([fingerprint(text, shingle) for text in bytes_of(batch)], np.int64)}
 
     return map_rows(docs, ["doc_id", "text"], kernel, "doc_id long, fp long")
 
@@ -96,13 +98,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = 4) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id.
 
-    Links are near_copies(): fingerprints 4 bits apart find few of the pairs at that similarity of shingles.
+    Links are near_copies(): pairs of close fingerprints, verified on the whole sets of shingles.  Fingerprints 4 bits
+    apart find few of the pairs at that similarity, so bands of min-hashes add those that they leave.
     Rows that share a doc_id are one document and one of them stays; rows without a doc_id all stay.
     """
-    groups = near_copies(docs, shingle, similarity)
+    groups = near_copies(docs, fingerprint, distance, shingle, similarity)
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct().withColumn("_stays", F.lit(True))
     x = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id")).join(kept, "_id", "left").filter("_stays or _id is null")
     one = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_row.text")))

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandframe.llm import embeddings, hamming, licenses, lines, mixing, quality, secrets, simhash, substrings, subword, toxicity, wordhash
+from strandframe.llm import embeddings, hamming, licenses, lines, mixing, neardup, quality, secrets, simhash, substrings, subword, toxicity, wordhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -819,6 +819,45 @@ def test_keep_first_at_jaccard(spark):
     print("pairs", len(close), "within 4, 8, 12, 16 bits:", [sum(c <= k for c in close) for k in (4, 8, 12, 16)])
 
 
+def test_keep_first_goes_by_fingerprints(spark, monkeypatch):
+    """The stage's links come from fingerprints where these reach, also without any help of the bands."""
+    rng = random.Random(6)
+    words = [[f"v{rng.randrange(5000)}" for _ in range(400)] for _ in range(30)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[1:], "end"]) for w in words]
+    fps = [brute_fingerprint(t, 5) for t in texts]
+    close = [i for i in range(30) if (fps[i] ^ fps[30 + i]).bit_count() <= 4]
+    assert len(close) > 15
+    monkeypatch.setattr(neardup, "band_keys", lambda s: np.zeros((len(s), 0), np.int64))
+    kept = {r.doc_id for r in simhash.keep_first(docs_of(spark, texts)).collect()}
+    assert kept == set(range(60)) - {30 + i for i in close}
+
+
+def test_the_index_of_codes_is_not_broadcast(spark, tmp_path):
+    """A table of codes is small and its index is 64 times as long; the driver must not hold that."""
+    spark.range(5000).selectExpr("xxhash64(id) as fp").write.parquet(str(tmp_path / "codes"))
+    plan = hamming.close_pairs(spark.read.parquet(str(tmp_path / "codes")), 4, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_links_of_the_sample():
+    x = embeddings.normalised(np.random.default_rng(2).normal(size=(300, 4)))[0]
+    s = x[:150] @ x.T >= 0.7
+    s[np.arange(150), np.arange(150)] = False
+    every = set(zip(*(v.tolist() for v in np.nonzero(s))))
+    i, j = embeddings._some_links(x[:150], x, 0.7, np.random.default_rng(1))
+    assert set(zip(i.tolist(), j.tolist())) == every and len(i) == len(every)
+    i, j = embeddings._some_links(x[:150], x, 0.7, np.random.default_rng(1), most=500)
+    assert set(zip(i.tolist(), j.tolist())) < every and 300 < len(i) <= 500
+
+
+def test_first_by_hash(spark):
+    v = spark.range(5000).selectExpr("id as vec_id")
+    want = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(100).collect()
+    assert embeddings._first_by_hash(v, 5000, 100).collect() == want
+    twice = spark.range(5000).selectExpr("1L as vec_id")
+    assert embeddings._first_by_hash(twice, 5000, 100).count() == 100
+
+
 def test_close_pairs(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(40)]
