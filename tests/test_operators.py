@@ -188,6 +188,32 @@ def test_genome(spark):
     assert (d.a, d.b) == (4, 0)
 
 
+def test_coverage_windows_of_large_groups(spark, monkeypatch):
+    """All rows come, with null and repeated counts, whatever genes and counts a task or a row may hold."""
+    r = np.random.default_rng(7)
+    g = [(i, int(r.integers(2)), "+-"[i % 2], s, s + int(r.integers(60))) for i, s in enumerate(map(int, r.integers(1, 300, 80)))] + [(99, 0, "+", None, 5)]
+    c = [(int(r.integers(2)), int(r.choice([50, r.integers(-20, 400)])), "+-"[i % 2], None if i % 9 == 0 else float(r.integers(4))) for i in range(500)] + [(0, None, "+", 1.0), (None, 50, "+", 1.0)]
+    genes = spark.createDataFrame(g, "gene_id long, contig long, strand string, start long, end long")
+    coverage = spark.createDataFrame(c, "contig long, pos long, strand string, n double")
+    want = sorted(((a, pos, n) for a, k, s, lo, hi in g if lo for contig, pos, strand, n in c if pos is not None and contig == k and strand == s and lo - 10 <= pos <= hi + 10), key=repr)
+    for width, most, counts in ((None, (genome.GENES, genome.BIN_COUNTS), genome.COUNTS), (None, (3, 5), 4), (1000, (7, 11), 1)):
+        monkeypatch.setattr(genome.counts_by_position, "__defaults__", (counts,))
+        assert genome.counts_by_position(coverage).filter(F.size("counts") > counts).isEmpty()
+        got = genome.coverage_windows(genes, coverage, 10, 10, width, most)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_coverage_windows_come_in_runs(spark, tmp_path):
+    """The rows of copies take little of a file: a gene's stand together, and in them a position's and a count's."""
+    k = spark.range(40).select(F.col("id").alias("copy"))
+    g = spark.range(40).crossJoin(k).select((F.col("id") + 40 * F.col("copy")).alias("gene_id"), F.lit(1).alias("contig"), F.lit("+").alias("strand"), (F.col("id") * 37 % 300 + 1).alias("start"), (F.col("id") * 37 % 300 + 91).alias("end"))
+    c = spark.range(400).crossJoin(k).select(F.lit(1).alias("contig"), (F.col("id") * 13 % 520).alias("pos"), F.lit("+").alias("strand"), (F.xxhash64("id") % 9973 / 100).alias("n"))
+    x = genome.coverage_windows(g.repartition(5), c.repartition(7))
+    x.write.parquet(f"{tmp_path}/x")
+    size = sum(p.stat().st_size for p in (tmp_path / "x").glob("*.parquet"))
+    assert size < 0.1 * spark.read.parquet(f"{tmp_path}/x").count()
+
+
 def test_clusters(spark):
     e = spark.createDataFrame([("x", "a", "b", 0.01), ("x", "b", "c", 0.02), ("x", "a", "c", 0.03), ("x", "c", "d", 0.5), ("x", "a", "d", 0.5), ("x", "b", "d", 0.5)], "aln_id string, a string, b string, dist double")
     assert rows(cluster.single_linkage(e, 0.98), "id", "component") == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")]
