@@ -214,6 +214,25 @@ def test_coverage_windows_come_in_runs(spark, tmp_path):
     assert size < 0.1 * spark.read.parquet(f"{tmp_path}/x").count()
 
 
+def test_coverage_windows_of_differing_counts(spark, tmp_path):
+    """Counts of which hardly two are alike take little of a file too, and lists that are cut for it lose no row."""
+    g = spark.range(600).select(F.col("id").alias("gene_id"), F.lit(1).alias("contig"), F.lit("+").alias("strand"), (F.col("id") * 37 % 300 + 1).alias("start"), (F.col("id") * 37 % 300 + 91).alias("end"))
+    c = spark.range(40 * 117).select(F.lit(1).alias("contig"), (F.col("id") % 40 * 13).alias("pos"), F.lit("+").alias("strand"), F.when(F.col("id") % 500 > 0, F.xxhash64("id") % 99991 / 100).alias("n"))
+    cut = genome.counts_by_position(c)
+    assert {(r.rest > 0, r.k) for r in cut.select("rest", F.size("counts").alias("k")).collect()} == {(False, 112), (True, 1)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        genome.coverage_windows(g.repartition(5), c.repartition(7)).write.parquet(f"{tmp_path}/x")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    x = spark.read.parquet(f"{tmp_path}/x")
+    want = g.join(c, ["contig", "strand"]).filter("pos between start - 100 and end + 100")
+    of_all = [F.count("*"), F.count("n"), F.sum(F.xxhash64("gene_id", "pos", "n").cast("decimal(20, 0)"))]
+    assert x.agg(*of_all).first() == want.agg(*of_all).first()
+    size = sum(p.stat().st_size for p in (tmp_path / "x").glob("*.parquet"))
+    assert size < 0.3 * x.count()
+
+
 def test_clusters(spark):
     e = spark.createDataFrame([("x", "a", "b", 0.01), ("x", "b", "c", 0.02), ("x", "a", "c", 0.03), ("x", "c", "d", 0.5), ("x", "a", "d", 0.5), ("x", "b", "d", 0.5)], "aln_id string, a string, b string, dist double")
     assert rows(cluster.single_linkage(e, 0.98), "id", "component") == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")]
